@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, tokenfile, urlfilter
+from . import langid, packing, tokenfile, urlfilter
 
 QUERIES = {
     "op2_url_filter": urlfilter.op2_url_filter,
+    "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
     "op7_token_files": tokenfile.op7_token_files,
 }
