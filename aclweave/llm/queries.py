@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, packing, tokenfile, urlfilter
+from . import langid, packing, pii, secretscan, tokenfile, urlfilter
 
 QUERIES = {
     "op2_url_filter": urlfilter.op2_url_filter,
+    "op3_pii": pii.op3_pii,
     "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
     "op7_token_files": tokenfile.op7_token_files,
+    "op10_secrets": secretscan.op10_secrets,
 }
 
 ORACLES = {"op2_url_filter": urlfilter.OP2_SQL}
