@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, packing, pii, secretscan, tokenfile, urlfilter
+from . import langid, packing, pii, secretscan, tokenfile, toxicity, urlfilter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_pii": pii.op3_pii,
     "op5_language_id": langid.op5_language_id,
