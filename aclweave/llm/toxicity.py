@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed words (present or not, whole texts) is trained with numpy from confirmed toxic texts and
+A linear classifier over hashed words and character 4-grams of words (present or not, whole texts) is trained with numpy from confirmed toxic texts and
 unlabelled ones. The risk estimator corrects for the class prior: with positives P, unlabelled U and prior pi, the loss is
 pi * R_P(+) + max(0, R_U(-) - pi * R_P(-)), and where the second term turns negative the step goes against it (Kiryo et al.,
 2017). The prior is the share of toxic texts among the rows that carry a label. A threshold shift, fitted on rows kept out
@@ -29,11 +29,16 @@ _WORD = re.compile(rb"[a-z\x80-\xff']+")
 
 
 class Hasher:
-    """Distinct hashed words of a text, with a bounded memo of words."""
+    """Distinct hashed features of a text, with a bounded memo of words: character 4-grams in the lower half, words above."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 200_000):
         self.memo, self.limit = {}, limit
 
+    def _features(self, word: bytes) -> bytes:
+        padded, half = b"^" + word + b"$", BUCKETS // 2
+        grams = [zlib.crc32(padded[i : i + 4]) % half for i in range(max(1, len(padded) - 3))] if len(word) <= 64 else []
+        return np.array([half + zlib.crc32(word) % half, *grams], "<i4").tobytes()
+
     def __call__(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int64)
@@ -43,8 +48,13 @@ class Hasher:
             memo.clear()
         for w in words:
             if w not in memo:
-                memo[w] = zlib.crc32(w) % BUCKETS
-        return np.unique(np.fromiter((memo[w] for w in words), np.int64, len(words)))
+                memo[w] = self._features(w)
+        mark = np.zeros(BUCKETS, bool) if len(words) > 20_000 else None
+        found = np.frombuffer(b"".join([memo[w] for w in words]), "<i4")
+        if mark is None:
+            return np.unique(found).astype(np.int64)
+        mark[found] = True
+        return np.flatnonzero(mark)
 
 
 def _gradient(rows: list[np.ndarray], w: np.ndarray, b: float, sign: int) -> tuple[float, np.ndarray, float]:
@@ -58,13 +68,16 @@ def _gradient(rows: list[np.ndarray], w: np.ndarray, b: float, sign: int) -> tup
     return float(np.log1p(np.exp(-m)).mean()), np.bincount(flat, slope[of], BUCKETS), float(slope.sum())
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 25, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and intercept by mini-batches of Adam on the non-negative risk."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
     m, v, mb, vb, t = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, 0
-    # words of a single training text can't tell anything: they would only be learnt by heart
-    seen = np.bincount(np.concatenate(positive + unlabelled), minlength=BUCKETS) >= 3
+    # features of a few training texts can't tell anything: they would only be learnt by heart
+    in_p, in_u = (np.bincount(np.concatenate(rows), minlength=BUCKETS) for rows in (positive, unlabelled))
+    seen = in_p + in_u >= max(3, 1e-3 * (len(positive) + len(unlabelled)))
+    # a feature of toxic texts alone is 1 / prior times as frequent in them as in unlabelled ones; the rest is topic and chance
+    seen &= in_p / len(positive) >= 0.3 / prior * (in_u + 1) / len(unlabelled)
     positive, unlabelled = ([r[seen[r]] for r in rows] for rows in (positive, unlabelled))
     batches = max(8, len(unlabelled) // 512)
     for epoch in range(epochs):
@@ -81,7 +94,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
                 g, gb = prior * gp + gun - prior * gpn, prior * bp + bun - prior * bpn
             else:
                 g, gb = prior * gpn - gun, prior * bpn - bun
-            g = g + 2e-5 * w
+            g = g + 2e-6 * w
             t += 1
             rate = 0.05 * (1 - epoch / epochs) + 0.005
             m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -116,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         return None
     prior = toxic / (toxic + sizes.get(0, 0))
     others = sum(sizes.values()) - toxic
-    share = F.when(F.col("toxic") == 1, F.lit(positives / toxic)).otherwise(F.lit(unlabelled / max(1, others)))
+    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, positives / toxic))).otherwise(F.lit(min(1.0, unlabelled / max(1, others))))
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
 
     def make():
