@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, packing, pii, secretscan, tokenfile, toxicity, urlfilter
+from . import langid, packing, pii, quality, secretscan, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
     "op7_token_files": tokenfile.op7_token_files,
+    "op9_quality": quality.op9_quality,
     "op10_secrets": secretscan.op10_secrets,
 }
 
