@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, packing, pii, quality, secretscan, tokenfile, toxicity, urlfilter
+from . import jaccard, langid, packing, pii, quality, secretscan, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_url_filter": urlfilter.op2_url_filter,
     "op3_pii": pii.op3_pii,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
     "op7_token_files": tokenfile.op7_token_files,
