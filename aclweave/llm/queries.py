@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, packing, pii, quality, secretscan, tokenfile, toxicity, urlfilter
+from . import decontaminate, jaccard, langid, packing, pii, quality, secretscan, tokenfile, toxicity, urlfilter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_packing": packing.op6_packing,
     "op7_token_files": tokenfile.op7_token_files,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_quality": quality.op9_quality,
     "op10_secrets": secretscan.op10_secrets,
 }

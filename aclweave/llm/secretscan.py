@@ -150,9 +150,14 @@ def thresholds(null: dict[int, int], cands: dict[int, int], rate: float = RATE)
     return {b: min((i for i in range(BINS) if p[b * BINS + i] <= cut), default=BINS) for b in range(len(BANDS))}
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """docs, found over whole texts: base spans and added ones as ``spans`` (an array of kind, start, end)."""
-    spark = docs.sparkSession
+def _lowest(found: DataFrame) -> dict[int, int]:
+    null = {r[0]: r[1] for r in found.select(F.explode("null").alias("x")).groupBy("x.cell").agg(F.sum("x.n")).collect()}  # at most bands x bins rows
+    cands = {r[0]: r[1] for r in found.select(F.explode("cands").alias("x")).groupBy("x.cell").count().collect()}
+    return thresholds(null, cands)
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """Base spans, candidates and counts of plain long words of every text, stored."""
 
     def make():
         def run(cols: dict) -> dict:
@@ -164,7 +169,6 @@ def scan(docs: DataFrame) -> DataFrame:
             rest = [None] * (len(out) - 1)
             counts = [(k, n) for k, n in null.items()]
             return {
-                "_row": cols["_row"],
                 "doc_id": cols["doc_id"],
                 "base": [[{"kind": k, "start": s, "end": e} for s, k, e in b] for b, _, _ in out],
                 "cands": [[{"start": s, "end": e, "cell": b * BINS + z} for s, e, b, z in c] for _, c, _ in out],
@@ -174,15 +178,18 @@ def scan(docs: DataFrame) -> DataFrame:
         return run
 
     spans = "array<struct<start:int,end:int,{}>>"
-    schema = f"_row bigint, doc_id bigint, base {spans.format('kind:int')}, cands {spans.format('cell:int')}, null array<struct<cell:int,n:bigint>>"
-    found = saved(arrow_pass(docs.select(F.xxhash64("doc_id", "text").alias("_row"), "doc_id", "text"), make, schema, rows=256), "found")
-    null = {r[0]: r[1] for r in found.select(F.explode("null").alias("x")).groupBy("x.cell").agg(F.sum("x.n")).collect()}  # at most bands x bins rows
-    cands = {r[0]: r[1] for r in found.select(F.explode("cands").alias("x")).groupBy("x.cell").count().collect()}
-    low = thresholds(null, cands)
+    schema = f"doc_id bigint, base {spans.format('kind:int')}, cands {spans.format('cell:int')}, null array<struct<cell:int,n:bigint>>"
+    return saved(arrow_pass(docs.select("doc_id", "text"), make, schema, rows=256), "found")
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Spans of every row of docs, found over whole texts: ``base`` and ``all`` (arrays of start, end, kind)."""
+    found = _found(docs)
+    low = _lowest(found)
     lowest = F.array(*[F.lit(low[b]) for b in range(len(BANDS))])
     kept = F.filter("cands", lambda x: x["cell"] % BINS >= F.element_at(lowest, F.floor(x["cell"] / BINS).cast("int") + 1))
     added = F.transform(kept, lambda x: F.struct(x["start"], x["end"], F.lit(3).alias("kind")))
-    return found.select("_row", "doc_id", "base", F.concat("base", added).alias("all"))
+    return found.select("doc_id", "base", F.concat("base", added).alias("all"))
 
 
 def spans_text(base: list, names: tuple[str, ...], by_kind: bool) -> str:
@@ -210,31 +217,30 @@ def digest(found: DataFrame, names: tuple[str, ...], n_base: int, by_kind: bool)
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by ``mark`` (and n_chars counted anew, where there is such a column)."""
-    found = scan(docs).filter(F.size("all") > 0).select("_row", "all").dropDuplicates(["_row"])
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    joined = keyed.join(found.withColumnRenamed("all", "_spans"), "_row", "left").drop("_row")
+    low = _lowest(_found(docs))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
+    def clean(text: str | None) -> str | None:
+        base, cands, _ = found_in(text or "", with_null=False)
+        spans = sorted([(s, -e) for s, _, e in base] + [(s, -e) for s, e, b, z in cands if z >= low[b]])
+        parts, at = [], 0
+        for s, e in spans:
+            if s >= at:
+                parts += [text[at:s], mark]
+            at = max(at, -e)
+        return "".join([*parts, text[at:]]) if spans else text
+
     def make():
         def run(cols: dict) -> dict:
-            texts = []
-            for t, spans in zip(cols["text"], cols.pop("_spans"), strict=True):
-                if spans:
-                    parts, at = [], 0
-                    for x in sorted(spans, key=lambda x: (x["start"], -x["end"])):
-                        if x["start"] >= at:
-                            parts += [t[at : x["start"]], mark]
-                        at = max(at, x["end"])
-                    t = "".join([*parts, t[at:]])
-                texts.append(t)
+            texts = [clean(t) for t in cols["text"]]
             out = cols | {"text": texts}
             if "n_chars" in out:
-                out["n_chars"] = [n if t is None else len(t) for n, t in zip(out["n_chars"], texts, strict=True)]
+                out["n_chars"] = [n if t is u else len(u) for n, t, u in zip(out["n_chars"], cols["text"], texts, strict=True)]
             return out
 
         return run
 
-    return arrow_pass(joined, make, schema, rows=256)
+    return arrow_pass(docs, make, schema, rows=256)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
