@@ -120,17 +120,18 @@ def best_shift(z: np.ndarray, y: np.ndarray) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float] | None:
     """Weights and intercept from rows that aren't held out, or None without toxic ones."""
-    spark = docs.sparkSession
-    y = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isNotNull())
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).join(y, "doc_id", "left")
-    sizes = {r[0]: r[1] for r in rows.groupBy("toxic").count().collect()}
-    toxic = sizes.get(1, 0)
+    y = labels.filter(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(F.col("toxic").isNotNull())
+    sizes = {r[0]: r[1] for r in y.groupBy("toxic").count().collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic:
         return None
-    prior = toxic / (toxic + sizes.get(0, 0))
-    others = sum(sizes.values()) - toxic
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, positives / toxic))).otherwise(F.lit(min(1.0, unlabelled / max(1, others))))
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    prior = toxic / (toxic + clean)
+    place = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1 << 30)) / float(1 << 30)
+    # labels are chosen before any text moves: at most about POSITIVES + UNLABELLED of them, whatever the input
+    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, positives / toxic))).otherwise(F.lit(min(1.0, unlabelled / max(1, clean))))
+    labelled = saved(y.withColumn("place", place("doc_id") / share).filter("place < 1"), "labels")
+    training = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
+    drawn = place("doc_id", "text") / min(1.0, unlabelled / max(1, docs.count()))
 
     def make():
         hashed = Hasher()
@@ -140,7 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
 
         return run
 
-    chosen = rows.withColumn("place", place / share).filter("place < 1").select("toxic", "place", "text")
+    rows = training.join(F.broadcast(labelled), "doc_id", "left").withColumn("place", F.coalesce("place", drawn))
+    chosen = rows.filter("place < 1").select("toxic", "place", "text")
     got = arrow_pass(chosen, make, "toxic int, place double, words binary", rows=256).toLocalIterator()
     pos, unl, held, truth = [], [], [], []
     for r in sorted(((r["toxic"], r["place"], bytes(r["words"])) for r in got), key=lambda r: (r[1], r[2])):
