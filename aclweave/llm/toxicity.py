@@ -68,13 +68,21 @@ def _gradient(rows: list[np.ndarray], w: np.ndarray, b: float, sign: int) -> tup
     return float(np.log1p(np.exp(-m)).mean()), np.bincount(flat, slope[of], BUCKETS), float(slope.sum())
 
 
+def _frequencies(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many rows each feature stands, a few rows at a time."""
+    out = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(rows), 512):
+        out += np.bincount(np.concatenate(rows[i : i + 512]), minlength=BUCKETS)
+    return out
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 25, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and intercept by mini-batches of Adam on the non-negative risk."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
     m, v, mb, vb, t = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, 0
     # features of a few training texts can't tell anything: they would only be learnt by heart
-    in_p, in_u = (np.bincount(np.concatenate(rows), minlength=BUCKETS) for rows in (positive, unlabelled))
+    in_p, in_u = _frequencies(positive), _frequencies(unlabelled)
     seen = in_p + in_u >= max(3, 1e-3 * (len(positive) + len(unlabelled)))
     # a feature of toxic texts alone is 1 / prior times as frequent in them as in unlabelled ones; the rest is topic and chance
     seen &= in_p / len(positive) >= 0.3 / prior * (in_u + 1) / len(unlabelled)
@@ -145,8 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     chosen = rows.filter("place < 1").select("toxic", "place", "text")
     got = arrow_pass(chosen, make, "toxic int, place double, words binary", rows=256).toLocalIterator()
     pos, unl, held, truth = [], [], [], []
-    for r in sorted(((r["toxic"], r["place"], bytes(r["words"])) for r in got), key=lambda r: (r[1], r[2])):
-        words = np.frombuffer(r[2], "<i4").astype(np.int64)
+    for r in sorted(((r[0], r[1], bytes(r[2])) for r in got), key=lambda r: (r[1], r[2])):
+        words = np.frombuffer(r[2], "<i4")
         if r[1] >= 0.8 and r[0] is not None:
             held.append(words)
             truth.append(r[0] == 1)

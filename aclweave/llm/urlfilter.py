@@ -3,7 +3,7 @@
 A host's key is its labels in reverse, each closed by a space (`www.example.com` is `com example www `), so the hosts below
 a rule's host are one interval of keys, and such intervals are nested or apart. Urls are sorted by key and swept against the
 sorted rules; a stack holds the rules whose interval covers the current key, innermost last. Among those whose path the
-url's path starts with, the rule with the longest text (host and path) wins.
+url's path starts with, the rule with the longest text (host and path) wins, and of equally long ones that of the inner host.
 
 Defined results: a null url or one without ``://`` has an empty host and path, which no rule fits; of rules with the same
 host and path the first counts; an empty table gives no rows; repeated rows are judged as often as they occur.
@@ -105,7 +105,7 @@ def _by_ranges(base: DataFrame, rules: DataFrame, schema: str, n: int, rules_in_
     rules = saved(rules.distinct(), "rules")
     ranges = max(2, 4 * n // rules_in_task)
     ends = rules.select("key").distinct().repartitionByRange(ranges, "key").withColumn("_r", F.spark_partition_id())
-    cuts = sorted(r[0] for r in ends.groupBy("_r").agg(F.min("key")).collect())[1:]  # one for each range
+    cuts = sorted(r[1] for r in ends.groupBy("_r").agg(F.min("key")).collect())[1:]  # one for each range
     encoded = [c.encode() for c in cuts]
 
     def place(frame: DataFrame, col: str) -> DataFrame:
@@ -145,7 +145,7 @@ def _by_ranges(base: DataFrame, rules: DataFrame, schema: str, n: int, rules_in_
                     stack.append((key, rule))
                     continue
                 fits = [x for _, x in stack if key and row["path"].startswith(x["path"])]
-                best = max(fits, key=lambda x: len(x["text"]), default=None)
+                best = max(reversed(fits), key=lambda x: len(x["text"]), default=None)
                 for name in names:
                     out[name].append(row[name])
                 out["rule"].append(best and best["text"])

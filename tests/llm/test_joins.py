@@ -89,9 +89,9 @@ def test_chains_of_components(spark):
 def brute_verdict(host, path, rules):
     best = None
     for verdict, h, p in rules:
-        if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or len(h + p) > len(best[0])):
-            best = (h + p, verdict)
-    return best or (None, "allow")
+        if (host == h or host.endswith("." + h)) and path.startswith(p) and (best is None or (len(h + p), len(h)) > best[2:]):
+            best = (h + p, verdict, len(h + p), len(h))
+    return best[:2] if best else (None, "allow")
 
 
 @pytest.mark.parametrize("limit", [200_000, 40])
