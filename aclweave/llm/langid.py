@@ -93,9 +93,9 @@ class Models:
         self.langs = sorted(counts)
         size = len(self.langs)
         self.grams, self.contexts = [], []
-        vocabulary = 1 + max((len(c[0][0]) for c in counts.values()), default=0)
+        vocabulary = 1 + len(np.unique(np.concatenate([c[0][0] for c in counts.values()]))) if counts else 1
         p_lower, g_lower = None, None
-        for k in range(ORDER):
+        for k in range(ORDER if counts else 0):
             per = [counts[x][k] for x in self.langs]
             grams, first = np.unique(np.concatenate([p[0] for p in per]), return_index=True)
             suffix, context = (np.concatenate([p[j] for p in per])[first] for j in (1, 2))

@@ -76,18 +76,19 @@ def _frequencies(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 25, seed: int = 7) -> tuple[np.ndarray, float]:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 1200, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and intercept by mini-batches of Adam on the non-negative risk."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
     m, v, mb, vb, t = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0, 0
-    # features of a few training texts can't tell anything: they would only be learnt by heart
     in_p, in_u = _frequencies(positive), _frequencies(unlabelled)
-    seen = in_p + in_u >= max(3, 1e-3 * (len(positive) + len(unlabelled)))
-    # a feature of toxic texts alone is 1 / prior times as frequent in them as in unlabelled ones; the rest is topic and chance
-    seen &= in_p / len(positive) >= 0.3 / prior * (in_u + 1) / len(unlabelled)
+    # a feature of toxic texts alone is 1 / prior times as frequent in them as in unlabelled ones; the rest is topic, and
+    # what few texts have is chance: it would only be learnt by heart
+    expected = len(positive) * (in_u + 1) / len(unlabelled)
+    seen = (in_p >= 0.3 / prior * expected) & (in_p - expected >= 4.5 * np.sqrt(expected + 1))
     positive, unlabelled = ([r[seen[r]] for r in rows] for rows in (positive, unlabelled))
     batches = max(8, len(unlabelled) // 512)
+    epochs = -(-steps // batches)
     for epoch in range(epochs):
         p_parts = np.array_split(rng.permutation(len(positive)), batches)
         u_parts = np.array_split(rng.permutation(len(unlabelled)), batches)
@@ -119,11 +120,13 @@ def best_shift(z: np.ndarray, y: np.ndarray) -> float:
     if not y.any():
         return 0.0
     order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(z) + 1) + y.sum())
-    k = int(f1.argmax())
-    below = z[order[k + 1]] if k + 1 < len(z) else z[order[k]] - 1
-    return at - (z[order[k]] + below) / 2
+    ranked = z[order]
+    f1 = 2 * np.cumsum(y[order]) / (np.arange(1, len(z) + 1) + y.sum())
+    ends = np.flatnonzero(ranked[:-1] > ranked[1:])  # equal scores can't be cut apart, and a cut below all says nothing
+    if not len(ends):
+        return at - float(ranked[0]) - 1
+    k = ends[f1[ends].argmax()]
+    return at - float(ranked[k] + ranked[k + 1]) / 2
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, float] | None:
@@ -145,27 +148,28 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         hashed = Hasher()
 
         def run(cols: dict) -> dict:
-            return {"toxic": cols["toxic"], "place": cols["place"], "words": [hashed(t).astype("<i4").tobytes() for t in cols["text"]]}
+            return {"toxic": cols["toxic"], "place": cols["place"], "drawn": cols["drawn"], "words": [hashed(t).astype("<i4").tobytes() for t in cols["text"]]}
 
         return run
 
-    rows = training.join(F.broadcast(labelled), "doc_id", "left").withColumn("place", F.coalesce("place", drawn))
-    chosen = rows.filter("place < 1").select("toxic", "place", "text")
-    got = arrow_pass(chosen, make, "toxic int, place double, words binary", rows=256).toLocalIterator()
+    # unlabelled texts are drawn from all, toxic ones among them in their natural share
+    rows = training.join(F.broadcast(labelled), "doc_id", "left").withColumn("drawn", drawn < 1)
+    chosen = rows.filter("drawn OR place IS NOT NULL").select("toxic", F.coalesce("place", F.lit(2.0)).alias("place"), "drawn", "text")
+    got = arrow_pass(chosen, make, "toxic int, place double, drawn boolean, words binary", rows=256).toLocalIterator()
     pos, unl, held, truth = [], [], [], []
-    for r in sorted(((r[0], r[1], bytes(r[2])) for r in got), key=lambda r: (r[1], r[2])):
-        words = np.frombuffer(r[2], "<i4")
-        if r[1] >= 0.8 and r[0] is not None:
+    for toxic_, at, free, words in sorted(((r[0], r[1], r[2], bytes(r[3])) for r in got), key=lambda r: (r[1], r[3])):
+        words = np.frombuffer(words, "<i4")
+        if toxic_ is not None and 0.8 <= at < 1:
             held.append(words)
-            truth.append(r[0] == 1)
-        elif r[0] == 1:
+            truth.append(toxic_ == 1)
+            continue
+        if toxic_ == 1:
             pos.append(words)
-        else:
+        if free:
             unl.append(words)
     if not pos or not unl:
         return None
-    # confirmed texts also stand, unmarked, in what the prior is a share of
-    w, b = train(pos, unl + pos[: int(prior / (1 - prior) * len(unl))], prior)
+    w, b = train(pos, unl, prior)
     z = np.array([w[x].sum() for x in held]) + b
     if any(truth):
         b += best_shift(z, np.array(truth))

@@ -13,10 +13,9 @@ def test_kneser_ney_is_a_distribution():
     letters = langid.letter_table()
     e, n = m.cross_entropy(["abba", "cdcd", "", "123"], letters)
     assert e[0, 0] < e[0, 1] and e[1, 1] < e[1, 0] and list(n) == [4, 4, 0, 0]
-    # after a seen context the seen and unseen characters' probabilities add up to one
-    grams, logs = m.grams[0]
-    total = np.exp(logs[:, 0]).sum() + (1 + len(grams) - len(grams)) * np.exp(m.contexts[0][1][0, 0] + m.floor)
-    assert 0.9 < total < 1.1
+    # all characters and one unknown add up to one
+    for j in range(2):
+        assert abs(np.exp(m.grams[0][1][:, j]).sum() + np.exp(m.contexts[0][1][0, j] + m.floor) - 1) < 1e-3
 
 
 def test_language_accuracy_and_contract(spark):
@@ -44,22 +43,23 @@ def test_rejection_and_odd_rows(spark, odd, nothing):
 
 
 def test_toxicity_accuracy_and_contract(spark):
-    out = toxicity.op1_toxicity(spark, DIR)
+    large = "/root/testdata/sf0.1"  # some four hundred toxic labels
+    out = toxicity.op1_toxicity(spark, large)
     assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
-    rows = out.join(table(spark, DIR, "labels"), "doc_id").collect()
-    assert out.count() == table(spark, DIR, "documents").count()
+    rows = out.join(table(spark, large, "labels"), "doc_id").collect()
+    assert out.count() == table(spark, large, "documents").count()
     assert all((r.predicted == 1) == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
     held = [r for r in rows if r.held_out]
     hits = [r for r in held if r.toxic]
-    assert sum(r.predicted for r in hits) >= 0.7 * len(hits)
-    assert sum(r.predicted for r in held if not r.toxic) <= 0.05 * len(held)
+    assert sum(r.predicted for r in hits) >= 0.65 * len(hits)
+    assert sum(r.predicted for r in held if not r.toxic) <= 0.03 * len(held)
 
 
 def test_negative_risk_is_stepped_back():
     rng = np.random.default_rng(0)
     pos = [np.array([1, *rng.integers(10, 60, 5)]) for _ in range(60)]
     neg = [np.array([2, *rng.integers(10, 60, 5)]) for _ in range(400)]
-    w, b = toxicity.train([np.unique(p) for p in pos], [np.unique(x) for x in neg + pos[:40]], 0.1, epochs=60)
+    w, b = toxicity.train([np.unique(p) for p in pos], [np.unique(x) for x in neg + pos[:40]], 0.1, steps=480)
     assert w[1] > 1 and w[1] > w[2] and np.isfinite(w).all()
 
 
