@@ -45,34 +45,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 class Shingler:
-    """A text's distinct shingles as sorted 64-bit hashes, with a bounded memo of word hashes."""
+    """A text's distinct shingles as sorted 64-bit hashes."""
 
-    def __init__(self, size: int = SHINGLE, limit: int = 400_000):
+    def __init__(self, size: int = SHINGLE):
         from xxhash import xxh3_64_intdigest
 
-        self.size, self.limit, self.memo, self.digest = size, limit, {}, xxh3_64_intdigest
+        self.size, self.digest = size, xxh3_64_intdigest
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = text.encode("utf-8", "replace").lower().split() if text else []
         if not words:
             return np.zeros(0, _U)
-        memo = self.memo
-        miss = {w for w in words if w not in memo}
-        if miss:
-            if len(memo) > self.limit:
-                memo.clear()
-                miss = set(words)
-            digest = self.digest
-            for w in miss:
-                memo[w] = digest(w)
-        h = np.fromiter(map(memo.__getitem__, words), _U, len(words))
+        h = np.fromiter(map(self.digest, words), _U, len(words))
         n = min(self.size, len(h))
         with np.errstate(over="ignore"):
             out = h[: len(h) - n + 1].copy()
             for k in range(1, n):
                 out = out * _U(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k]
-            return np.unique(_mix(out + _U(n)))
+            return _distinct(_mix(out + _U(n)))
 
 
 @functools.cache
@@ -106,18 +104,17 @@ def subsets(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray, np.ndarr
             continue  # no set of that band is large enough to link
         with np.errstate(over="ignore"):
             salt = _U((k * 0x2545F4914F6CDD1D + 0x1234567) & 0xFFFFFFFFFFFFFFFF)
-            mixed = _mix(s + salt)
-            segment = (mixed >> _U(32)) % _U(m)
+            segment = ((s >> _U(32)) % _U(m)).astype(np.uint16 if m < 1 << 16 else np.int64)
             sums = np.zeros(m, _U)
             order = np.argsort(segment, kind="stable")
-            sizes = np.bincount(segment.astype(np.int64), minlength=m)
+            sizes = np.bincount(segment, minlength=m)
             full = sizes > 0
             starts = (np.cumsum(sizes) - sizes)[full]
-            sums[full] = np.add.reduceat(mixed[order], starts)
+            sums[full] = np.add.reduceat(s[order], starts)
             place = _mix(np.arange(m, dtype=_U) + salt * _U(31))
             own = sums + place
             if deletions:
-                less = (sums[segment.astype(np.int64)] - mixed) + place[segment.astype(np.int64)]
+                less = (sums[segment] - s) + place[segment]
                 own, full = np.concatenate((own, less)), np.ones(m + len(s), bool)
             out.append((spare, _mix(own), ~full))
     return out
@@ -133,8 +130,8 @@ def indexed(s: np.ndarray, hot: np.ndarray, percent: int) -> np.ndarray:
             order = np.lexsort((h, np.where(empty, 1 << 62, cost)))
             h = h[order[: len(h) - spare]]
         parts.append(h)
-    h = np.unique(np.concatenate(parts) & ~_U(255)) if parts else np.zeros(0, _U)
-    return h | _U(255 - min(255, frequent))
+    h = np.concatenate(parts) if parts else np.zeros(0, _U)
+    return (h & ~_U(255)) | _U(255 - min(255, frequent))
 
 
 def _node(s: np.ndarray) -> int:
@@ -238,14 +235,17 @@ def _shared(index: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "sig bigint, node bigint, leader bigint")
 
 
-def _possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that size and parity allow to link."""
+def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their sizes and ``least``: they differ by at least so many shingles, by sizes and parity."""
     one = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("p_a"))
     two = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("p_b"))
-    both = pairs.join(one, "a").join(two, "b")
     apart = functools.reduce(lambda x, y: x + y, [F.bit_count(F.col("p_a")[i].bitwiseXOR(F.col("p_b")[i])) for i in range(8)])
-    sized = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent))
-    return both.filter(sized).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").withColumn("least", F.greatest(apart, F.abs(F.col("n_a") - F.col("n_b")))).drop("p_a", "p_b")
+
+
+def _may_link(least, n_a, n_b, percent: int):
+    """Whether sets of these sizes that differ by at least ``least`` can link."""
+    return least * (100 + percent) <= (n_a + n_b) * (100 - percent)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs whose whole texts' shingles overlap enough."""
+    """The pairs whose whole texts' shingles overlap enough, and by how many shingles they differ."""
 
     def make():
         shingles, memo = Shingler(size), {}
@@ -287,19 +287,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
             return memo[node]
 
         def run(cols: dict) -> dict:
-            out = {"a": [], "b": []}
+            out = {"a": [], "b": [], "apart": []}
             for a, b, ta, tb in zip(cols["a"], cols["b"], cols["ta"], cols["tb"], strict=True):
                 x, y = shingled(a, ta), shingled(b, tb)
                 same = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * same >= percent * (len(x) + len(y) - same):
                     out["a"].append(a)
                     out["b"].append(b)
+                    out["apart"].append(len(x) + len(y) - 2 * same)
             return out
 
         return run
 
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    return arrow_pass(joined.select("a", "b", "ta", "tb"), make, "a bigint, b bigint", rows=64)
+    return arrow_pass(joined.select("a", "b", "ta", "tb"), make, "a bigint, b bigint, apart bigint", rows=64)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -316,6 +317,25 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _left_over(shared: DataFrame, stars: DataFrame, edges: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share a subset, lie in different components and may link.
+
+    One of the two isn't in the component of the subset's leader. Distances obey the triangle inequality, so a set that
+    differs much from the leader is compared only with others that differ much from it, not with the leader's near copies.
+    """
+    comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
+    known = stars.join(edges.select("a", "b", "apart"), ["a", "b"], "left").join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+    known = known.withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b"), "least": F.coalesce("apart", "least"), "most": F.coalesce("apart", F.col("n_a") + F.col("n_b"))})
+    known = saved(known.select(F.col("a").alias("node"), F.col("b").alias("leader"), "c_a", (F.col("c_a") != F.col("c_b")).alias("out"), F.col("n_a").alias("n"), "least", "most"), "known")
+    rows = shared.filter("node != leader").join(known, ["node", "leader"])
+    outer = rows.filter("out").select("sig", F.col("node").alias("a"), F.col("c_a").alias("c1"), F.col("n").alias("n1"), F.col("least").alias("l1"), F.col("most").alias("m1"))
+    inner = rows.select("sig", F.col("node").alias("b"), F.col("c_a").alias("c2"), F.col("n").alias("n2"), F.col("least").alias("l2"), F.col("most").alias("m2"), "out")
+    apart = F.greatest(F.col("l1") - F.col("m2"), F.col("l2") - F.col("m1"), F.abs(F.col("n1") - F.col("n2")))
+    wanted = (F.col("c1") != F.col("c2")) & (~F.col("out") | (F.col("a") < F.col("b"))) & _may_link(apart, F.col("n1"), F.col("n2"), percent)
+    pairs = outer.join(inner, "sig").filter(wanted).select("a", "b").distinct()
+    return _bounded(pairs, nodes).filter(_may_link(F.col("least"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+
+
 def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each row of docs."""
     spark = docs.sparkSession
@@ -329,21 +349,15 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "_t")).alias("rep"), F.min("doc_id").alias("low"), F.first("n").alias("n"), F.first("parity").alias("parity"))
     nodes = saved(nodes, "nodes")
     shared = saved(_shared(_index(docs, spark.sparkContext.broadcast(hot), percent, size)), "shared")
-    stars = saved(_possible(shared.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), nodes, percent), "stars")
+    stars = shared.filter("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    stars = saved(_bounded(stars, nodes), "stars")
     texts = _texts(docs, nodes, shared.select("node").distinct())
-    edges = saved(_verified(stars, texts, percent, size), "links")
+    linked = _may_link(F.col("least"), F.col("n_a"), F.col("n_b"), percent)
+    edges = saved(_verified(stars.filter(linked).select("a", "b"), texts, percent, size), "links")
     labels = components(edges)
-    # what shares a subset but no component yet is compared pair by pair
-    member = shared.select("sig", "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    member = member.join(nodes.select("node", "n"), "node")
-    open_ = member.groupBy("sig").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x != _y").select("sig")
-    left = saved(member.join(open_, "sig"), "open")
-    one = left.select("sig", F.col("node").alias("a"), F.col("comp").alias("c_a"), F.col("n").alias("n_a"))
-    two = left.select("sig", F.col("node").alias("b"), F.col("comp").alias("c_b"), F.col("n").alias("n_b"))
-    cross = one.join(two, "sig").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)).select("a", "b").distinct()
-    more = saved(_verified(_possible(cross, nodes, percent), texts, percent, size), "links")
+    more = saved(_verified(_left_over(shared, stars, edges, labels, nodes, percent), texts, percent, size), "links")
     if not more.isEmpty():
-        labels = components(edges.union(more))
+        labels = components(edges.unionByName(more))
     ids = nodes.select("node", "low").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = ids.groupBy("comp").agg(F.min("low").alias("component_id"))
     ids = saved(ids.join(least, "comp").select("node", "component_id"), "components")
