@@ -274,7 +274,7 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs whose whole texts' shingles overlap enough, and by how many shingles they differ."""
+    """Pairs with by how many of their whole texts' shingles they differ, and whether they link."""
 
     def make():
         shingles, memo = Shingler(size), {}
@@ -287,20 +287,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
             return memo[node]
 
         def run(cols: dict) -> dict:
-            out = {"a": [], "b": [], "apart": []}
+            out = {"a": cols["a"], "b": cols["b"], "apart": [], "linked": []}
             for a, b, ta, tb in zip(cols["a"], cols["b"], cols["ta"], cols["tb"], strict=True):
                 x, y = shingled(a, ta), shingled(b, tb)
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * same >= percent * (len(x) + len(y) - same):
-                    out["a"].append(a)
-                    out["b"].append(b)
-                    out["apart"].append(len(x) + len(y) - 2 * same)
+                out["apart"].append(len(x) + len(y) - 2 * same)
+                out["linked"].append(100 * same >= percent * (len(x) + len(y) - same))
             return out
 
         return run
 
     joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    return arrow_pass(joined.select("a", "b", "ta", "tb"), make, "a bigint, b bigint, apart bigint", rows=64)
+    return arrow_pass(joined.select("a", "b", "ta", "tb"), make, "a bigint, b bigint, apart bigint, linked boolean", rows=64)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,14 +315,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _left_over(shared: DataFrame, stars: DataFrame, edges: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _left_over(shared: DataFrame, stars: DataFrame, tested: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a subset, lie in different components and may link.
 
     One of the two isn't in the component of the subset's leader. Distances obey the triangle inequality, so a set that
     differs much from the leader is compared only with others that differ much from it, not with the leader's near copies.
     """
     comp = lambda c: labels.select(F.col("node").alias(c), F.col("comp").alias(f"c_{c}"))
-    known = stars.join(edges.select("a", "b", "apart"), ["a", "b"], "left").join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+    known = stars.join(tested.select("a", "b", "apart"), ["a", "b"], "left").join(comp("a"), "a", "left").join(comp("b"), "b", "left")
     known = known.withColumns({"c_a": F.coalesce("c_a", "a"), "c_b": F.coalesce("c_b", "b"), "least": F.coalesce("apart", "least"), "most": F.coalesce("apart", F.col("n_a") + F.col("n_b"))})
     known = saved(known.select(F.col("a").alias("node"), F.col("b").alias("leader"), "c_a", (F.col("c_a") != F.col("c_b")).alias("out"), F.col("n_a").alias("n"), "least", "most"), "known")
     rows = shared.filter("node != leader").join(known, ["node", "leader"])
@@ -353,9 +351,10 @@ def join_components(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
     stars = saved(_bounded(stars, nodes), "stars")
     texts = _texts(docs, nodes, shared.select("node").distinct())
     linked = _may_link(F.col("least"), F.col("n_a"), F.col("n_b"), percent)
-    edges = saved(_verified(stars.filter(linked).select("a", "b"), texts, percent, size), "links")
+    tested = saved(_verified(stars.filter(linked).select("a", "b"), texts, percent, size), "tested")
+    edges = tested.filter("linked")
     labels = components(edges)
-    more = saved(_verified(_left_over(shared, stars, edges, labels, nodes, percent), texts, percent, size), "links")
+    more = saved(_verified(_left_over(shared, stars, tested, labels, nodes, percent), texts, percent, size).filter("linked"), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
     ids = nodes.select("node", "low").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
