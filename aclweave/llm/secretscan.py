@@ -1,14 +1,18 @@
 """Secrets: base patterns, and a battery of randomness tests over code-like words with false-discovery control.
 
-Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more that aren't plain words. Each is read in the narrowest
-encoding that holds it (digits, hex, base 32, letters of one case, letters, alphanumeric, base 64), and three tests ask
-whether it could be drawn evenly from that alphabet: chi-squared over the alphabet and over groups of it, runs above and below the
-alphabet's middle, and serial correlation of neighbours. Their z values are combined by Stouffer's rule into one statistic.
-
-What is written by people is not even. Its own distribution of the statistic is counted over the whole corpus, from the
-long plain words in each band of lengths, and a candidate's p value is the share of those that look at least as even. The
-threshold is Benjamini and Hochberg's over all candidates, with the p values of each band counted in a fixed histogram, so
-long and short candidates are held to their own null.
+Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more that aren't plain words. Each is read in the narrowest encoding that holds
+it (digits, hex, base 32, letters of one case, letters, alphanumeric, base 64; once more without its signs, as keys come in
+groups), and three tests ask whether it could be drawn evenly from that alphabet: chi-squared over the alphabet and over
+groups of it, runs above and below the alphabet's middle, and serial correlation of neighbours. Their z values are combined
+by Stouffer's rule. A candidate that an even draw would hardly give (``EVEN``) isn't random.
+
+How people write is counted over the whole corpus as pairs of neighbouring letters and digits, from words and numbers of
+fewer than 16 characters, so no candidate is part of its own null. The test statistic is a candidate's log likelihood ratio
+of an even draw to writing, letters and digits each within their own kind (so a number is held to numbers), less the mean of
+writing, over the deviation of writing of as many letters: both follow from the fitted cost of a character and the length,
+so power grows with length and no length needs words of its own. The null distribution of that is counted over the
+corpus's text, cut without spaces into pieces of all lengths, and its tail extrapolated from ``TAIL``, below the few pieces
+that are junk. The threshold is Benjamini and Hochberg's over all candidates.
 
 Defined results: a null text is empty and has no spans; an empty table gives no rows; repeated rows are found each; spans of
 the base patterns stay; added spans that overlap one are left out.
@@ -20,6 +24,7 @@ import hashlib
 import math
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +38,22 @@ _HEX = re.compile("[0-9a-f]{24,}")
 _CODE = re.compile("[A-Za-z0-9+/_=-]{16,}")
 #: Encodings from narrow to wide, with their alphabets in order.
 _LOW, _UP, _DIG = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-ENCODINGS = [("digits", _DIG), ("hex", _DIG + "abcdef"), ("HEX", _DIG + "ABCDEF"), ("base32", _UP + "234567"), ("lower", _LOW), ("upper", _UP), ("lower36", _DIG + _LOW), ("upper36", _DIG + _UP), ("letters", _UP + _LOW), ("alphanumeric", _UP + _LOW + _DIG), ("base64", _UP + _LOW + _DIG + "+/-_=")]
+ENCODINGS = [("digits", _DIG), ("hex", _DIG + "abcdef"), ("HEX", _DIG + "ABCDEF"), ("lower", _LOW), ("upper", _UP), ("base32", _UP + "234567"), ("lower36", _DIG + _LOW), ("upper36", _DIG + _UP), ("letters", _UP + _LOW), ("alphanumeric", _UP + _LOW + _DIG), ("base64", _UP + _LOW + _DIG + "+/-_=")]
 _TABLES = [(name, {c: i for i, c in enumerate(a)}, len(a)) for name, a in ENCODINGS]
 #: Letters that are common in writing in most Latin alphabets, then the rest, digits, signs.
 _COMMON = "etaoinshrdlu"
 _GROUP = {c: (0 if c.lower() in _COMMON else 1) + 2 * c.isupper() for c in _LOW + _UP} | {c: 4 for c in _DIG}
 _EXPECTED = {name: [sum(_GROUP.get(c, 5) == i for c in a) / len(a) for i in range(6)] for name, a in ENCODINGS}
-#: Words of letters alone in one case, or capitalised, are what people write; parts joined by - _ or / count as words.
 _PLAIN = re.compile("(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4})(?:[-_/=+]+(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}))*")
+_RUN = re.compile("[A-Za-z0-9+/_=-]+")
+_UNSIGNED = str.maketrans("", "", "+/_=-")
 BANDS = (16, 20, 24, 32, 40, 64)
 BINS, RATE = 400, 0.05
+#: What one even draw in a few thousand falls below, in deviations; shares of the null from which its tail is fitted.
+EVEN, TAIL = -4.0, (0.1, 0.025)
+#: Pairs of characters that writing is taken to have seen before any is counted; share of pairs in writing that follow no rule.
+PRIOR, LOOSE = 200.0, 0.02
+_FREQUENCY = dict(zip(_LOW, (8, 1.5, 3, 4, 12.5, 2, 2, 5.5, 7.3, 0.3, 0.8, 4, 2.5, 7, 7.5, 2, 0.2, 6, 6.5, 9, 3, 1, 2, 0.2, 1.7, 0.2), strict=True))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -104,44 +115,155 @@ def _cube_root(chi: float, df: int) -> float:
 
 
 def _bin(z: float) -> int:
-    return min(BINS - 1, max(0, int((z + 20) * BINS / 30)))
+    return min(BINS - 1, max(0, int((z + 8) * BINS / 40)))
+
 
+class Writing:
+    """How likely neighbouring letters and digits are in writing, against an even draw, in nats.
+
+    ``counts`` are of pairs: 26 x 26 letters without case, then 10 x 10 digits.
+    """
 
-def found_in(text: str, with_null: bool = True) -> tuple[list, list, list]:
-    """Base spans; candidates (start, end, band, bin); bins of the plain long words as band * BINS + bin."""
-    base, cands, null, at = base_spans(text), [], [], 0
+    def __init__(self, counts: np.ndarray):
+        prior = np.array([_FREQUENCY[c] for c in _LOW]) / sum(_FREQUENCY.values())
+        self.scores, self.cost, self.even = {}, {}, {}
+        for kind, pairs, first in (("a", counts[:676].reshape(26, 26), prior), ("d", counts[676:].reshape(10, 10), np.full(10, 0.1))):
+            n, size = pairs.astype(np.float64), len(first)
+            single = (n.sum(axis=0) + PRIOR * first) / (n.sum() + PRIOR)
+            p = (n + PRIOR * single) / (n.sum(axis=1, keepdims=True) + PRIOR)
+            p = (1 - LOOSE) * np.vstack([p, single]) + LOOSE / size  # the last row is for what stands after another kind
+            own = self.scores[kind] = -np.log(p * size)
+            # mean and variance in writing and in an even draw, of a character after its own kind and of one after another
+            self.cost[kind] = _moments(own[:-1], single[:, None] * p[:-1]), _moments(own[-1:], p[-1:])
+            self.even[kind] = _moments(own[:-1], np.ones((size, size))), _moments(own[-1:], np.ones((1, size)))
+        self.even["hex"] = _moments(self.scores["a"][:6, :6], np.ones((6, 6))), _moments(self.scores["a"][-1:, :6], np.ones((1, 6)))
+        self.rows = {k: v.tolist() for k, v in self.scores.items()}
+
+    def measure(self, word: str) -> tuple[float, bool]:
+        """The statistic of a word, and whether an even draw could have it."""
+        letters, digits = self.rows["a"], self.rows["d"]
+        total, last, before = 0.0, 26, 10
+        m, k = [0, 0], [0, 0]  # letters and digits, after their own kind and after another
+        for c in word:
+            x = _CODES.get(c, -1)
+            if x >= 26:
+                total += digits[before][x - 26]
+                k[before == 10] += 1
+                last, before = 26, x - 26
+            elif x >= 0:
+                total += letters[last][x]
+                m[last == 26] += 1
+                last, before = x, 10
+            else:
+                last, before = 26, 10
+        hexes = not word.translate(_HEXES) or not word.translate(_UPPER_HEXES)
+
+        def moments(of: dict, name: str) -> tuple[float, float]:
+            parts = [*zip(m, of[name], strict=True), *zip(k, of["d"], strict=True)]
+            return sum(n * x[0] for n, x in parts), 1 + sum(n * x[1] for n, x in parts)
+
+        mean, var = moments(self.cost, "a")
+        even, spread = moments(self.even, "hex" if hexes else "a")
+        # drawn from six letters each is likelier than from 26; writing stays what it is
+        narrow = sum(m) * math.log(26 / 6) if hexes else 0.0
+        return (total + narrow - mean) / math.sqrt(var), total >= even + EVEN * math.sqrt(spread)
+
+    def bin(self, word: str) -> int:
+        z, even = self.measure(word)
+        if z <= 0 or not even:
+            return min(_bin(z), _bin(0.0))
+        if evenness(word) < EVEN and evenness(word.translate(_UNSIGNED)) < EVEN:
+            return _bin(0.0)
+        return _bin(z)
+
+    def pieces(self, letters: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bands and bins of writing without spaces (as codes), cut into pieces of each band's length in turn."""
+        sizes = np.resize(np.roll(BANDS, at), 1 + len(letters) // min(BANDS))
+        ends = np.cumsum(sizes)
+        sizes = sizes[ends <= len(letters)]
+        if not len(sizes):
+            return np.zeros(0, int), np.zeros(0, int)
+        starts = np.cumsum(sizes) - sizes
+        scores = self.scores["a"][np.concatenate(([26], letters[:-1])), letters]
+        mean, var = self.cost["a"][0]
+        z = (np.add.reduceat(scores[: starts[-1] + sizes[-1]], starts) - sizes * mean) / np.sqrt(sizes * var + 1)
+        return np.searchsorted(BANDS, sizes), ((z + 8) * BINS / 40).astype(int).clip(0, BINS - 1)
+
+
+def _moments(scores: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    weight = weight / weight.sum()
+    mean = float((scores * weight).sum())
+    return mean, float(((scores - mean) ** 2 * weight).sum())
+
+
+_CODES = {c: i % 26 for i, c in enumerate(_LOW + _UP)} | {c: 26 + i for i, c in enumerate(_DIG)}
+_HEXES, _UPPER_HEXES = (str.maketrans("", "", _DIG + x + "+/_=-") for x in ("abcdef", "ABCDEF"))
+
+
+def written(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The letters and the digits of a text's words and numbers of fewer than 16 characters, as codes."""
+    short = [w for w in _RUN.findall(text) if len(w) < 16]
+    letters = "".join(filter(str.isalpha, short)).lower().encode()
+    digits = "".join(filter(str.isdigit, short)).encode()
+    return np.frombuffer(letters, np.uint8).astype(np.int64) - 97, np.frombuffer(digits, np.uint8).astype(np.int64) - 48
+
+
+def fit(docs: DataFrame) -> Writing:
+    """Pairs of neighbouring characters in the writing of all texts."""
+
+    def make():
+        def run(cols: dict) -> dict:
+            total = np.zeros(776, np.int64)
+            for t in cols["text"]:
+                a, d = written(t or "")
+                total[:676] += np.bincount(a[:-1] * 26 + a[1:], minlength=676)
+                total[676:] += np.bincount(d[:-1] * 10 + d[1:], minlength=100)
+            at = np.flatnonzero(total)
+            return {"pair": at, "n": total[at]}
+
+        return run
+
+    counts = np.zeros(776, np.int64)
+    for r in arrow_pass(docs.select("text"), make, "pair int, n bigint", rows=2048).groupBy("pair").agg(F.sum("n")).collect():  # 776 rows at most
+        counts[r[0]] = r[1]
+    return Writing(counts)
+
+
+def found_in(text: str, writing: Writing) -> tuple[list, list]:
+    """Base spans; candidates (start, end, band, bin)."""
+    base, cands, at = base_spans(text), [], 0
     for m in _CODE.finditer(text):
         word, s, e = m.group(), m.start(), m.end()
-        if _PLAIN.fullmatch(word):
-            if with_null and word.isalpha():
-                null.append(band(len(word)) * BINS + _bin(evenness(word.lower())))
-            continue
-        if word.isdigit() or len(set(word)) < 5:  # numbers are for other scans
+        if _PLAIN.fullmatch(word) or word.isdigit():
             continue
         while at < len(base) and base[at][2] <= s:
             at += 1
         if any(b[0] < e and b[2] > s for b in base[at : at + 3]) or any(b[0] < e and b[2] > s for b in base):
             continue
-        cands.append((s, e, band(len(word)), _bin(evenness(word))))
-    return base, cands, null
+        cands.append((s, e, band(len(word)), writing.bin(word)))
+    return base, cands
 
 
 def thresholds(null: dict[int, int], cands: dict[int, int], rate: float = RATE) -> dict[int, int]:
-    """The lowest bin of each band that counts as found, from the counts of plain words and of candidates by band and bin.
+    """The lowest bin of each band that counts as found, from the counts of writing and of candidates by band and bin.
 
-    A p value is (1 + plain words at least as even) / (1 + plain words); a band without plain words uses those of all.
+    Up to ``TAIL`` a p value is the share of writing at least as far off; beyond it falls exponentially, by a rate fitted
+    between both shares of ``TAIL``. The statistic is held to the length already, so all bands have one null; a few
+    pieces of a wide tail are added to it, which count only where there is hardly any writing.
     """
-    all_ = [0] * BINS
+    counts = np.zeros(BINS)
     for k, n in null.items():
-        all_[k % BINS] += n
-    p, tests = {}, sum(cands.values())
-    for b in range(len(BANDS)):
-        own = [null.get(b * BINS + i, 0) for i in range(BINS)]
-        own = own if sum(own) >= 1000 else all_
-        total, above = sum(own), 0
-        for i in reversed(range(BINS)):
-            above += own[i]
-            p[b * BINS + i] = (1 + above) / (1 + total)
+        counts[k % BINS] += n
+    unit = BINS / 40
+    wide = np.arange(1, BINS + 1) * (np.arange(BINS) >= _bin(0.0))
+    counts += 20 * np.where(wide, np.exp(-(np.arange(BINS) - _bin(0.0)) / unit), 0) * (1 - math.exp(-1 / unit))
+    above = counts[::-1].cumsum()[::-1] / counts.sum()
+    near, far = (int(np.flatnonzero(above > share)[-1]) for share in TAIL)
+    fall = max(far - near, 0.2 * unit) / math.log(TAIL[0] / TAIL[1])
+    tail = TAIL[0] * np.exp(-(np.arange(BINS) - near) / fall)
+    shared = np.where(np.arange(BINS) > near, tail, above)
+    p = {b * BINS + i: float(shared[i]) for b in range(len(BANDS)) for i in range(BINS)}
+    tests = sum(cands.values())
     ranked, k, cut = sorted(cands, key=p.__getitem__), 0, -1.0
     for c in ranked:
         k += cands[c]
@@ -156,22 +278,22 @@ def _lowest(found: DataFrame) -> dict[int, int]:
     return thresholds(null, cands)
 
 
-def _found(docs: DataFrame) -> DataFrame:
-    """Base spans, candidates and counts of plain long words of every text, stored."""
+def _found(docs: DataFrame, writing: Writing) -> DataFrame:
+    """Base spans, candidates and counts of pieces of writing of every text, stored."""
 
     def make():
         def run(cols: dict) -> dict:
-            out = [found_in(t or "") for t in cols["text"]]
-            null: dict[int, int] = {}
-            for _, _, n in out:
-                for k in n:
-                    null[k] = null.get(k, 0) + 1
+            out = [found_in(t or "", writing) for t in cols["text"]]
+            null = np.zeros(len(BANDS) * BINS, np.int64)
+            for k, t in enumerate(cols["text"]):
+                bands, bins = writing.pieces(written(t or "")[0], k % len(BANDS))
+                null += np.bincount(bands * BINS + bins, minlength=len(null))
             rest = [None] * (len(out) - 1)
-            counts = [(k, n) for k, n in null.items()]
+            counts = [(k, null[k]) for k in np.flatnonzero(null).tolist()]
             return {
                 "doc_id": cols["doc_id"],
-                "base": [[{"kind": k, "start": s, "end": e} for s, k, e in b] for b, _, _ in out],
-                "cands": [[{"start": s, "end": e, "cell": b * BINS + z} for s, e, b, z in c] for _, c, _ in out],
+                "base": [[{"kind": k, "start": s, "end": e} for s, k, e in b] for b, _ in out],
+                "cands": [[{"start": s, "end": e, "cell": b * BINS + z} for s, e, b, z in c] for _, c in out],
                 "null": [[{"cell": k, "n": n} for k, n in counts], *rest],
             }
 
@@ -184,7 +306,7 @@ def _found(docs: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """Spans of every row of docs, found over whole texts: ``base`` and ``all`` (arrays of start, end, kind)."""
-    found = _found(docs)
+    found = _found(docs, fit(docs))
     low = _lowest(found)
     lowest = F.array(*[F.lit(low[b]) for b in range(len(BANDS))])
     kept = F.filter("cands", lambda x: x["cell"] % BINS >= F.element_at(lowest, F.floor(x["cell"] / BINS).cast("int") + 1))
@@ -217,11 +339,12 @@ def digest(found: DataFrame, names: tuple[str, ...], n_base: int, by_kind: bool)
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by ``mark`` (and n_chars counted anew, where there is such a column)."""
-    low = _lowest(_found(docs))
+    writing = fit(docs)
+    low = _lowest(_found(docs, writing))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def clean(text: str | None) -> str | None:
-        base, cands, _ = found_in(text or "", with_null=False)
+        base, cands = found_in(text or "", writing)
         spans = sorted([(s, -e) for s, _, e in base] + [(s, -e) for s, e, b, z in cands if z >= low[b]])
         parts, at = [], 0
         for s, e in spans:

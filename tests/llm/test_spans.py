@@ -78,6 +78,19 @@ def test_random_strings_stand_out(spark):
     assert sum(i < 20 for i in hits) >= 15 and not [i for i in hits if i >= 20]
 
 
+def test_keys_are_found_among_many_clean_candidates(spark):
+    rng = random.Random(8)
+    draw = lambda n, a="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(a) for _ in range(n))
+    syllables = ["tion", "ing", "er", "re", "an", "the", "ent", "is", "on", "al", "st", "or", "com", "de", "fi", "put", "ob", "ly", "ma", "con"]
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    code = lambda: word(3) + "".join(word(2).capitalize() for _ in range(4)) + str(rng.randint(1, 99))
+    rows = [(i, " ".join([word(rng.randint(1, 4)) for _ in range(60)] + [code() for _ in range(10)] + [draw(n) for n in (24, 32, 40, 64) if i < 50])) for i in range(400)]
+    out = {r.doc_id: r["all"] for r in secretscan.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for n in (24, 32, 40, 64):
+        assert sum(any(x["kind"] == 3 and x["end"] - x["start"] == n and x["end"] > len(t) - 165 for x in out[i]) for i, t in rows[:50]) >= 45
+    assert not any(x["kind"] == 3 for i, t in rows[50:] for x in out[i])
+
+
 def test_thresholds_control_the_rate():
     null = {b * secretscan.BINS + 100 + i % 50: 200 for b in range(6) for i in range(50)}
     low = secretscan.thresholds(null, {0 * secretscan.BINS + 390: 5, 0 * secretscan.BINS + 120: 5})
