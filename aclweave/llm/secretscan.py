@@ -1,6 +1,6 @@
 """Secrets: base patterns, and a battery of randomness tests over code-like words with false-discovery control.
 
-Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more that aren't plain words. Each is read in the narrowest encoding that holds
+Candidates are all runs of ``[A-Za-z0-9+/_=-]`` of 16 characters or more, whatever their shape. Each is read in the narrowest encoding that holds
 it (digits, hex, base 32, letters of one case, letters, alphanumeric, base 64; once more without its signs, as keys come in
 groups), and three tests ask whether it could be drawn evenly from that alphabet: chi-squared over the alphabet and over
 groups of it, runs above and below the alphabet's middle, and serial correlation of neighbours. Their z values are combined
@@ -44,7 +44,6 @@ _TABLES = [(name, {c: i for i, c in enumerate(a)}, len(a)) for name, a in ENCODI
 _COMMON = "etaoinshrdlu"
 _GROUP = {c: (0 if c.lower() in _COMMON else 1) + 2 * c.isupper() for c in _LOW + _UP} | {c: 4 for c in _DIG}
 _EXPECTED = {name: [sum(_GROUP.get(c, 5) == i for c in a) / len(a) for i in range(6)] for name, a in ENCODINGS}
-_PLAIN = re.compile("(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4})(?:[-_/=+]+(?:[A-Z]?[a-z]*|[A-Z]+|[0-9]{1,4}))*")
 _RUN = re.compile("[A-Za-z0-9+/_=-]+")
 _UNSIGNED = str.maketrans("", "", "+/_=-")
 BANDS = (16, 20, 24, 32, 40, 64)
@@ -234,8 +233,6 @@ def found_in(text: str, writing: Writing) -> tuple[list, list]:
     base, cands, at = base_spans(text), [], 0
     for m in _CODE.finditer(text):
         word, s, e = m.group(), m.start(), m.end()
-        if _PLAIN.fullmatch(word) or word.isdigit():
-            continue
         while at < len(base) and base[at][2] <= s:
             at += 1
         if any(b[0] < e and b[2] > s for b in base[at : at + 3]) or any(b[0] < e and b[2] > s for b in base):

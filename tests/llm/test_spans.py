@@ -91,6 +91,19 @@ def test_keys_are_found_among_many_clean_candidates(spark):
     assert not any(x["kind"] == 3 for i, t in rows[50:] for x in out[i])
 
 
+def test_keys_of_one_encoding_are_candidates(spark):
+    rng = random.Random(9)
+    draw = lambda n, a: "".join(rng.choice(a) for _ in range(n))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = [draw(40, upper.lower()), draw(40, upper), "-".join(draw(5, upper) for _ in range(6)), "_".join(draw(6, upper.lower()) for _ in range(5))]
+    text = " ".join(r.text for r in table(spark, DIR, "documents").limit(100).collect() if r.text)
+    rows = [(i, f"{text[i * 2000 : i * 2000 + 2000]} so {keys[i]} ") for i in range(4)] + [(9, "Internationalisierungen INTERNATIONALISIERUNGEN 20240101202402022024 ================ " + text)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: [rows[min(r.doc_id, 4)][1][x["start"] : x["end"]] for x in r["all"] if x["kind"] == 3] for r in secretscan.scan(docs).collect()}
+    assert all(keys[i] in out[i] for i in range(4)) and not out[9]
+    assert not any(k in r.text for k in keys for r in secretscan.redact(docs).collect())
+
+
 def test_thresholds_control_the_rate():
     null = {b * secretscan.BINS + 100 + i % 50: 200 for b in range(6) for i in range(50)}
     low = secretscan.thresholds(null, {0 * secretscan.BINS + 390: 5, 0 * secretscan.BINS + 120: 5})
