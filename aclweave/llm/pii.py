@@ -2,9 +2,12 @@
 
 Every e-mail address, IP address, card and phone number is a protected entity. Terms (words of three letters or more) within
 ``REACH`` words of one are its context. With p over documents, a term t discloses entity e by PMI(e; t) = log p(e,t) / p(e)
-p(t), against the entity's own information IC(e) = -log p(e). Terms whose share PMI / IC reaches ``GENERALISE`` are
-generalised (to their word class) and from ``REMOVE`` on removed, wherever they stand within reach of that entity. A share
-rests on at least ``SUPPORT`` different windows, so copies of one text are one observation.
+p(t), against the entity's own information IC(e) = -log p(e). The share PMI / IC is 1 + log p(e|t) / IC(e); p(e|t) enters by
+its lower bound of confidence ``SURE``, for as many observations as there are different windows, so copies of one text are
+one observation and a pair seen once or twice counts by what it can tell. Rare entities are pooled too: by mail domain or the
+first digits, and by kind.
+
+Terms whose share reaches ``GENERALISE`` are generalised (to their word class) and from ``REMOVE`` on removed.
 
 Defined results: a null text is empty; an empty table gives no rows; repeated rows are found each; a term inside a base span
 is left to that; base spans always stay.
@@ -27,7 +30,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,}")
-REACH, SUPPORT, GENERALISE, REMOVE = 10, 5, 0.9, 0.97
+REACH, SUPPORT, GENERALISE, REMOVE, SURE = 10, 1, 0.9, 0.97, 2 / 3
 #: Up to this many candidate terms are counted by a set in every task; more are counted by a join.
 TERMS_IN_TASK = 100_000
 
@@ -56,13 +59,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def entity_of(text: str, kind: int, start: int, end: int) -> str:
+    own = text[start:end]
+    return f"{KINDS[kind]}:{own.lower() if kind == 0 else re.sub('[^0-9.]', '', own)}"
+
+
+def pools(entity: str) -> list[str]:
+    """An entity and what it is pooled with: its mail domain, network or first six digits, and its kind."""
+    kind, own = entity.split(":", 1)
+    part = own[own.rindex("@") :] if kind == "email" else own.rsplit(".", 1)[0] + "." if kind == "ip" else own[:6] + "-"
+    return [entity, f"{kind}:{part}", f"{kind}:"]
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     """Terms within reach of each span: entity, term, where, and a fingerprint of the window."""
     out = []
     covered = sorted((s, e) for _, s, e in spans)
     # characters that surely hold REACH words on a side are looked at first, more only where words are long
     for kind, s, e in spans:
-        entity = f"{KINDS[kind]}:{text[s:e].lower()}" if kind == 0 else f"{KINDS[kind]}:{re.sub('[^0-9.]', '', text[s:e])}"
+        entity = entity_of(text, kind, s, e)
         before, wide = [], 256
         while True:
             before = list(_WORD.finditer(text, max(0, s - wide), s))
@@ -77,6 +92,8 @@ def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
         window = [m for m in before[-REACH:] + after if not any(a < m.end() and b > m.start() for a, b in covered)]
         mark = zlib.crc32(" ".join(m.group().lower() for m in window).encode())
         out += [{"entity": entity, "term": m.group().lower(), "window": mark, "start": m.start(), "end": m.end()} for m in window]
+        # seen without any term the entity still counts
+        out += [] if window else [{"entity": entity, "term": None, "window": mark, "start": s, "end": s}]
     return out
 
 
@@ -121,16 +138,20 @@ def scan(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
     schema = "_row bigint, doc_id bigint, base array<struct<kind:int,start:int,end:int>>, near array<struct<entity:string,term:string,window:bigint,start:int,end:int>>"
     found = saved(arrow_pass(docs.select(F.xxhash64("doc_id", "text").alias("_row"), "doc_id", "text"), make, schema, rows=256), "entities")
     near = found.select("_row", F.explode("near").alias("x")).select("_row", "x.*")
-    windows = near.select("entity", "term", "window").distinct()
-    pairs = windows.groupBy("entity", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= support)
-    own = windows.select("entity", "window").distinct().groupBy("entity").agg(F.count("*").alias("times"))
+    pooled = F.udf(pools, "array<string>", useArrow=False)
+    # every pair once a window, with the documents that have it; then windows and documents are counted by plain sums
+    windows = near.select("_row", F.explode(pooled("entity")).alias("entity"), "term", "window").distinct()
+    pairs = windows.filter("term IS NOT NULL").groupBy("entity", "term", "window").agg(F.count("*").alias("n"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("together"), F.sum("n").alias("documents")).filter(F.col("together") >= support)
+    own = windows.select("entity", "_row").distinct().groupBy("entity").agg(F.count("*").alias("times"))
     pairs = saved(pairs.join(own, "entity"), "pairs")
     n = float(max(2, docs.count()))
     df = _document_counts(docs, pairs.select("term").distinct(), terms_in_task)
-    scored = pairs.join(df, "term").withColumn("df", F.greatest("df", "together"))
-    pmi = F.log(F.col("together") * n / (F.col("times") * F.col("df")))
-    share = pmi / F.log(F.lit(n) / F.least(F.col("times"), F.lit(n / 2)))
+    scored = pairs.join(df, "term").withColumn("documents", F.least("documents", "times")).withColumn("df", F.greatest("df", "documents"))
+    sure = F.col("documents") / F.col("df") * F.pow(F.lit(1 - SURE), 1 / F.col("together"))
+    share = 1 + F.log(sure) / F.log(F.lit(n) / F.least(F.col("times"), F.lit(n / 2)))
     telling = saved(scored.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share"), "telling")
+    near = near.withColumn("entity", F.explode(pooled("entity")))
     hits = near.join(telling, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
     added = hits.groupBy("_row").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end", "share")).alias("added"))  # within one text
     base = F.transform("base", lambda x: F.struct(x["kind"], x["start"], x["end"], F.lit(None).cast("double").alias("share")))

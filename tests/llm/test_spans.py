@@ -62,6 +62,18 @@ def test_terms_that_disclose(spark):
     assert by_join == {i: len(found[i]["all"]) for i in found}
 
 
+def test_rare_entities_are_disclosed_too(spark):
+    rng = random.Random(4)
+    common = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta", "kappa", "lambda", "omega"]
+    text = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, f"{text(12)} Zanzibrook office@zan.example {text(12)}") for i in range(3)]
+    rows += [(10 + i, f"{text(12)} Quillmore staff{i}@quill.example {text(12)}") for i in range(6)]  # each address once
+    rows += [(100 + i, text(40)) for i in range(300)]
+    found = {r.doc_id: r["all"] for r in pii.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for i, t in rows:
+        assert {t[x["start"] : x["end"]] for x in found[i] if x["kind"] == 4} == ({"Zanzibrook"} if i < 10 else {"Quillmore"} if i < 100 else set())
+
+
 def test_copies_are_one_observation(spark):
     docs = spark.createDataFrame([(i, "the quick Brownfox me@here.example lazy dog") for i in range(50)] + [(100 + i, "other words here") for i in range(50)], "doc_id bigint, text string")
     assert not pii.scan(docs).filter(F.exists("all", lambda x: x["kind"] == 4)).count()
