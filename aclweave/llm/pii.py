@@ -7,7 +7,8 @@ its lower bound of confidence ``SURE``, for as many observations as there are di
 one observation and a pair seen once or twice counts by what it can tell. Rare entities are pooled too: by mail domain or the
 first digits, and by kind.
 
-Terms whose share reaches ``GENERALISE`` are generalised (to their word class) and from ``REMOVE`` on removed.
+Terms whose share reaches ``GENERALISE`` are generalised (to their word class) and from ``REMOVE`` on removed: wherever they stand in a document that names the entity
+(or one of its pool), and those of ``REMOVE`` and more in all documents.
 
 Defined results: a null text is empty; an empty table gives no rows; repeated rows are found each; a term inside a base span
 is left to that; base spans always stay.
@@ -151,13 +152,80 @@ def scan(docs: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE
     sure = F.col("documents") / F.col("df") * F.pow(F.lit(1 - SURE), 1 / F.col("together"))
     share = 1 + F.log(sure) / F.log(F.lit(n) / F.least(F.col("times"), F.lit(n / 2)))
     telling = saved(scored.withColumn("share", share).filter(F.col("share") >= generalise).select("entity", "term", "share"), "telling")
-    near = near.withColumn("entity", F.explode(pooled("entity")))
-    hits = near.join(telling, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("share").alias("share"))
-    added = hits.groupBy("_row").agg(F.collect_list(F.struct(F.lit(4).alias("kind"), "start", "end", "share")).alias("added"))  # within one text
-    base = F.transform("base", lambda x: F.struct(x["kind"], x["start"], x["end"], F.lit(None).cast("double").alias("share")))
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,share:double>>")
-    out = found.select("_row", "doc_id", "base").join(added, "_row", "left")
-    return out.select("_row", "doc_id", "base", F.concat(base, F.coalesce("added", none)).alias("all"))
+    return _marked(docs, telling, found, terms_in_task)
+
+
+_ALL = "array<struct<kind:int,start:int,end:int,share:double>>"
+
+
+def _mark(text: str, base: list, shares: dict[str, float]) -> list[dict]:
+    """Base spans, then all places of the terms of ``shares`` outside of them."""
+    out = [x | {"share": None} for x in base]
+    if shares:
+        covered = [(x["start"], x["end"]) for x in base]
+        for m in _WORD.finditer(text):
+            share = shares.get(m.group().lower())
+            if share is not None and not any(a < m.end() and b > m.start() for a, b in covered):
+                out.append({"kind": 4, "start": m.start(), "end": m.end(), "share": share})
+    return out
+
+
+def _marked(docs: DataFrame, telling: DataFrame, found: DataFrame, terms_in_task: int) -> DataFrame:
+    """Base spans and telling terms of every document, looked up in every task, or by joins on the term where they are many."""
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("_row"), "doc_id", "text")
+    if telling.limit(terms_in_task + 1).count() <= terms_in_task:
+        by_term: dict[str, dict[str, float]] = {}
+        for r in telling.collect():  # terms_in_task rows at most
+            by_term.setdefault(r["term"], {})[r["entity"]] = r["share"]
+        everywhere = {t: max(e.values()) for t, e in by_term.items() if max(e.values()) >= REMOVE}
+        by_entity: dict[str, dict[str, float]] = {}
+        for t, e in by_term.items():
+            for k, share in e.items():
+                by_entity.setdefault(k, {})[t] = share
+
+        def make():
+            def run(cols: dict) -> dict:
+                out: dict = {"_row": cols["_row"], "doc_id": cols["doc_id"], "base": [], "all": []}
+                for t in cols["text"]:
+                    spans = base_spans(t or "")
+                    base = [{"kind": k, "start": s, "end": e} for k, s, e in spans]
+                    shares = everywhere
+                    for k in {k for x in spans for k in pools(entity_of(t, *x))} & by_entity.keys():
+                        more = by_entity[k]
+                        shares = shares | {w: max(x, shares.get(w, x)) for w, x in more.items()}
+                    out["base"].append(base)
+                    out["all"].append(_mark(t or "", base, shares))
+                return out
+
+            return run
+
+        return arrow_pass(rows, make, f"_row bigint, doc_id bigint, base array<struct<kind:int,start:int,end:int>>, all {_ALL}", rows=256)
+
+    def make_words():
+        def run(cols: dict) -> dict:
+            pairs = [(r, w) for r, t in zip(cols["_row"], cols["text"], strict=True) if t for w in {w.lower() for w in _WORD.findall(t)}]
+            return {"_row": [r for r, _ in pairs], "term": [w for _, w in pairs]}
+
+        return run
+
+    words = arrow_pass(rows.select("_row", "text"), make_words, "_row bigint, term string", rows=256).join(telling.select("term").distinct(), "term", "left_semi").distinct()
+    words = saved(words, "words")
+    pooled = F.udf(pools, "array<string>", useArrow=False)
+    named = found.select("_row", F.explode(F.transform("near", lambda x: x["entity"])).alias("name")).distinct().select("_row", F.explode(pooled("name")).alias("entity")).distinct()
+    local = words.join(named, "_row").join(telling, ["entity", "term"]).select("_row", "term", "share")
+    wide = telling.groupBy("term").agg(F.max("share").alias("share")).filter(F.col("share") >= REMOVE)
+    shares = local.unionByName(words.join(wide, "term").select("_row", "term", "share")).groupBy("_row", "term").agg(F.max("share").alias("share"))
+    shares = shares.groupBy("_row").agg(F.collect_list(F.struct("term", "share")).alias("shares"))  # within one text
+
+    def make_marks():
+        def run(cols: dict) -> dict:
+            base = [[{"kind": k, "start": s, "end": e} for k, s, e in base_spans(t or "")] for t in cols["text"]]
+            marks = [_mark(t or "", b, {x["term"]: x["share"] for x in s or []}) for t, b, s in zip(cols["text"], base, cols["shares"], strict=True)]
+            return {"_row": cols["_row"], "doc_id": cols["doc_id"], "base": base, "all": marks}
+
+        return run
+
+    return arrow_pass(rows.join(shares, "_row", "left"), make_marks, f"_row bigint, doc_id bigint, base array<struct<kind:int,start:int,end:int>>, all {_ALL}", rows=256)
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:

@@ -74,6 +74,19 @@ def test_rare_entities_are_disclosed_too(spark):
         assert {t[x["start"] : x["end"]] for x in found[i] if x["kind"] == 4} == ({"Zanzibrook"} if i < 10 else {"Quillmore"} if i < 100 else set())
 
 
+def test_telling_terms_go_wherever_they_stand(spark):
+    rng = random.Random(6)
+    common = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "theta", "kappa", "lambda", "omega"]
+    text = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, f"{text(12)} Zanzibrook office@zan.example {text(40)} Zanzibrook {text(5)}") for i in range(20)] + [(100 + i, text(40)) for i in range(3000)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert not [i for i, t in clean.items() if "Zanzibrook" in t] and clean[100] == dict(rows)[100]
+    stray = rows + [(5000, f"{text(6)} Zanzibrook {text(6)}")]
+    docs = spark.createDataFrame(stray + [(9000 + i, f"{text(12)} Zanzibrook office@zan.example {text(20)}") for i in range(60)], "doc_id bigint, text string")
+    for few in (100_000, 0):
+        assert "Zanzibrook" not in {r.doc_id: r.text for r in pii.sanitise(docs, terms_in_task=few).collect()}[5000]
+
+
 def test_copies_are_one_observation(spark):
     docs = spark.createDataFrame([(i, "the quick Brownfox me@here.example lazy dog") for i in range(50)] + [(100 + i, "other words here") for i in range(50)], "doc_id bigint, text string")
     assert not pii.scan(docs).filter(F.exists("all", lambda x: x["kind"] == 4)).count()
