@@ -156,6 +156,20 @@ def test_paraphrases_and_recall(spark):
     assert len({(r.doc_id, r.item_id) for r in blocks.collect()} & want) >= 0.95 * len(want)
 
 
+def test_paraphrases_of_hot_items(spark):
+    rng = random.Random(14)
+    vocabulary = [words(rng, 1) for _ in range(3000)]
+    item = list(dict.fromkeys(words(rng, 40, vocabulary).split()))[:24]
+    docs = [(i, f"{words(rng, 60, vocabulary)} {' '.join(item)} {words(rng, 20, vocabulary)}") for i in range(60)]
+    for i in range(10):  # 16 of 24 words stay, the last quarter whole
+        own = [rng.choice(vocabulary) if k in {1, 3, 5, 8, 10, 12, 14, 16} else w for k, w in enumerate(item)]
+        docs.append((100 + i, f"{words(rng, 40, vocabulary)} {' '.join(own)} {words(rng, 20, vocabulary)}"))
+    docs += [(200 + i, words(rng, 100, vocabulary)) for i in range(130)]
+    found = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(1, " ".join(item))] + [(2 + i, words(rng, 24, vocabulary)) for i in range(30)], "item_id bigint, text string"), cosine=0.1)  # the rule after retrieval
+    got = {r.doc_id for r in found.collect() if r.item_id == 1}
+    assert got >= set(range(60)) and len(got & set(range(100, 110))) >= 9 and not [i for i in got if i >= 200]
+
+
 def test_lcs():
     def slow(a, b):
         row = [0] * (len(b) + 1)
