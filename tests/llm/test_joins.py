@@ -1,4 +1,8 @@
+import os
+import pathlib
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -193,3 +197,57 @@ def test_decontamination_odd_rows(spark, odd, nothing):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 2
     assert decontaminate.find_leaks(nothing, bench).count() == 0 and decontaminate.find_leaks(odd, bench.limit(0)).count() == 0
     assert decontaminate.drop_leaks(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_join_where_a_crowd_stays_apart_from_its_leader(spark):
+    """A large group of copies about as far from each other as the limit: by leader, by subset, in tiles, and long sets."""
+    rng = random.Random(12)
+    rows = []
+    for n, copies in ((120, 90), (900, 30)):
+        base = words(rng, n).split()
+        for _ in range(copies):
+            copy = list(base)
+            for _ in range(rng.randint(0, n // 22)):
+                copy[rng.randrange(n)] = words(rng, 1)
+            rows.append((len(rows), " ".join(copy)))
+    want = brute_components(rows)
+    assert 20 < len({c for _, _, c in want}) < 100
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = jaccard._TILE, jaccard._MEMBERS
+    try:
+        for tile, members in ((4_000_000, 1024), (50, 7)):
+            jaccard._TILE, jaccard._MEMBERS = tile, members
+            assert sorted((tuple(r) for r in jaccard.join_components(docs).collect()), key=str) == want
+    finally:
+        jaccard._TILE, jaccard._MEMBERS = kept
+
+
+def test_sketches_never_exceed_the_distance():
+    rng = np.random.default_rng(3)
+    for n in (40, 300, 2000, 9000):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.concatenate((a[n // 6 :], rng.integers(0, 1 << 62, n // 9).astype(np.uint64))))
+        apart = len(a) + len(b) - 2 * len(np.intersect1d(a, b))
+        for x, y in zip(jaccard.sketches(a), jaccard.sketches(b), strict=True):
+            if x is None or y is None:
+                continue
+            while len(x) > len(y):
+                x = [p ^ q for p, q in zip(x[: len(x) // 2], x[len(x) // 2 :], strict=True)]
+            while len(y) > len(x):
+                y = [p ^ q for p, q in zip(y[: len(y) // 2], y[len(y) // 2 :], strict=True)]
+            assert sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y, strict=True)) <= apart
+
+
+def test_the_join_needs_no_package_on_executors(tmp_path):
+    """Functions travel by value: a session in a folder where workers can't import the package."""
+    code = (
+        "import sys, os; sys.path.insert(0, sys.argv[1])\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "from aclweave.llm import jaccard, langid, packing, tokenfile\n"
+        "d = s.createDataFrame([(1, 'a b c d e f g'), (2, 'a b c d e f g'), (3, 'x')], 'doc_id bigint, text string')\n"
+        "print(sorted(map(tuple, jaccard.join_components(d).collect())))\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONDONTWRITEBYTECODE": "1"}
+    got = subprocess.run([sys.executable, "-c", code, str(pathlib.Path(jaccard.__file__).parents[2])], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert got.stdout.strip() == "[(1, 3, 1), (2, 3, 1), (3, 1, 3)]", got.stderr[-2000:]
