@@ -2,11 +2,13 @@
 
 Contexts are JSON strings. A key is looked up in the tuple's context if it stands there, else in the request's. Types come
 from declared parameters, else from what a value is compared with; a missing key, a value of another type, a division by
-zero and an overflow are errors. ``&&`` and ``||`` absorb an error where the other side decides.
+zero and an overflow are errors. ``&&`` and ``||`` absorb an error where the other side decides, ``exists`` and ``all`` where
+another element does; ``filter`` and ``map`` fail if any element does.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -30,7 +32,7 @@ class Term:
     value: Column | None
     type: str  # bool, string, int, double, timestamp, duration, null, list<...>, map, any
     error: Column
-    path: tuple[str, ...] = ()  # of an undeclared key, whose type is still open
+    path: tuple[str | int, ...] = ()  # of an undeclared key or element, whose type is still open
     literal: object = None
 
 
@@ -55,14 +57,27 @@ class Compiler:
         if type_ == "any":
             type_ = "string"
         sql = f"array<{_SQL[type_[5:-1]]}>" if type_.startswith("list") else _SQL[type_]
-        at = "$" + "".join(f"['{p}']" for p in path)
-        in_a = F.array_contains(F.coalesce(F.json_object_keys(self.a), F.array().cast("array<string>")), path[0])
-        chosen = F.when(in_a, self.a).otherwise(self.b)
-        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(chosen), at, "variant"))
-        raw = F.try_variant_get(F.try_parse_json(chosen), at, sql)
+        found = self.variant(path)
+        kind = F.schema_of_variant(found)
+        raw = F.try_variant_get(found, "$", sql)
         fits = {"bool": kind == "BOOLEAN", "string": kind == "STRING", "int": kind == "BIGINT", "double": kind.rlike("^(BIGINT|DOUBLE|DECIMAL)")}.get(type_, kind.startswith("ARRAY"))
         return Term(raw, type_, raw.isNull() | ~F.coalesce(fits, _no()))
 
+    def variant(self, path: tuple[str, ...]) -> Column:
+        """The JSON value at a path, null where there is none."""
+        in_a = F.array_contains(F.coalesce(F.json_object_keys(self.a), F.array().cast("array<string>")), path[0])
+        found = F.try_parse_json(F.when(in_a, self.a).otherwise(self.b))
+        for key in path:
+            if isinstance(key, int):
+                found = F.try_variant_get(found, f"$[{key}]", "variant") if key >= 0 else F.lit(None).cast("variant")
+                continue
+            # a path can't hold every key; others are looked up among all of the object's keys
+            if re.search(r"['?\\]", key):
+                found = F.try_element_at(F.try_variant_get(found, "$", "map<string,variant>"), F.lit(key))
+            else:
+                found = F.try_variant_get(found, f"$['{key}']", "variant")
+        return found
+
     def settle(self, t: Term, type_: str = "string") -> Term:
         return self.read(t.path, type_) if t.type == "any" else t
 
@@ -202,14 +217,15 @@ class Compiler:
         x = b if a.type == "null" else a
         if x.type != "any":
             return Term(F.lit((x.type == "null") == (op == "==")), "bool", x.error)
-        chosen = F.when(F.array_contains(F.coalesce(F.json_object_keys(self.a), F.array().cast("array<string>")), x.path[0]), self.a).otherwise(self.b)
-        v = F.try_variant_get(F.try_parse_json(chosen), "$" + "".join(f"['{p}']" for p in x.path), "variant")
+        v = self.variant(x.path)
         missing = F.schema_of_variant(v).isNull()
         null = F.schema_of_variant(v) == "VOID"
         return Term(F.coalesce(null if op == "==" else ~null, _no()), "bool", missing)
 
     def index(self, n) -> Term:
-        base = self.settle(self.term(n[1]), "list<string>") if n[2][0] == "lit" and isinstance(n[2][1], int) else self.term(n[1])
+        base = self.term(n[1])
+        if base.type == "any" and n[2][0] == "lit" and isinstance(n[2][1], int) and not isinstance(n[2][1], bool):
+            return Term(None, "any", _no(), (*base.path, n[2][1]))
         if base.type in ("map", "any") and n[2][0] == "lit" and isinstance(n[2][1], str):
             return self.key((*base.path, n[2][1])) if base.type == "map" else Term(None, "any", _no(), (*base.path, n[2][1]))
         if not base.type.startswith("list"):
@@ -223,9 +239,8 @@ class Compiler:
         if name == "has" and target is None and len(args) == 1 and args[0][0] == "get":
             base = self.term(args[0][1])
             path = (*base.path, args[0][2])
-            at = "$" + "".join(f"['{p}']" for p in path)
-            there = F.schema_of_variant(F.try_variant_get(F.try_parse_json(self.a), at, "variant")).isNotNull() | F.schema_of_variant(F.try_variant_get(F.try_parse_json(self.b), at, "variant")).isNotNull()
-            return Term(F.coalesce(there, _no()), "bool", _no())
+            lost = F.schema_of_variant(self.variant(path[:-1])).isNull() if len(path) > 1 else _no()
+            return Term(F.coalesce(F.schema_of_variant(self.variant(path)).isNotNull(), _no()), "bool", lost)
         if name in ("exists", "all", "filter", "map") and target is not None:
             return self.macro(name, target, args)
         terms = [self.term(x) for x in ([target] if target is not None else []) + args]
@@ -269,15 +284,22 @@ class Compiler:
 
         def body(x: Column) -> Column:
             self.names = outer | {args[0][1]: Term(x, items.type[5:-1], _no())}
-            got["t"] = self.term(args[1])
+            t = got["t"] = self.settle(self.term(args[1]), "string" if name == "map" else "bool")
             self.names = outer
-            return got["t"].value if name == "map" else F.coalesce(got["t"].value & ~got["t"].error, _no())
+            if name != "map" and t.type != "bool":
+                raise CelError(f"{name} needs a condition")
+            return F.struct(t.value.alias("v"), (F.coalesce(t.error, F.lit(True)) | t.value.isNull()).alias("e"))
+
+        def some(test) -> Column:
+            return F.coalesce(F.exists(F.transform(items.value, body), test), _no())
 
+        failed = some(lambda p: p["e"])
+        if name in ("exists", "all"):  # an element that decides outweighs errors of others
+            decided = some(lambda p: ~p["e"] & F.coalesce(p["v"] if name == "exists" else ~p["v"], _no()))
+            return Term(decided if name == "exists" else ~decided, "bool", items.error | (~decided & failed))
         if name == "map":
-            value = F.transform(items.value, body)
-            return Term(value, f"list<{got['t'].type}>", items.error)
-        value = {"exists": F.exists, "all": F.forall, "filter": F.filter}[name](items.value, body)
-        return Term(value, items.type if name == "filter" else "bool", items.error)
+            return Term(F.transform(items.value, lambda x: body(x)["v"]), f"list<{got['t'].type}>", items.error | failed)
+        return Term(F.filter(items.value, lambda x: F.coalesce(body(x)["v"], _no())), items.type, items.error | failed)
 
 
 def compile_condition(condition: Condition, tuple_context: Column, request_context: Column) -> tuple[Column, Column]:

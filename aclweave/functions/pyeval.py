@@ -133,12 +133,22 @@ def _call(n, env):
         items, var = _eval(target, env), args[0][1]
         if not isinstance(items, list):
             raise EvalError("not a list")
-        got = [_eval(args[1], env | {var: x}) for x in items]
-        if name == "exists":
-            return any(x is True for x in got)
-        if name == "all":
-            return all(x is True for x in got)
-        return got if name == "map" else [x for x, keep in zip(items, got, strict=True) if keep is True]
+        got, error = [], None
+        for x in items:
+            try:
+                y = _eval(args[1], env | {var: x})
+                if name != "map" and not isinstance(y, bool):
+                    raise EvalError("not a boolean")
+                if name in ("exists", "all") and y == (name == "exists"):
+                    return y
+                got.append(y)
+            except EvalError as e:
+                error = e
+        if error:
+            raise error
+        if name in ("exists", "all"):
+            return name == "all"
+        return got if name == "map" else [x for x, keep in zip(items, got, strict=True) if keep]
     values = [_eval(a, env) for a in ([target] if target is not None else []) + args]
     try:
         if name == "size":

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..model.ast import Model
 from ..plans.cut import stored
 from ..plans.evaluate import Evaluator
-from ..sources.tuples import COLUMNS, parse_object, parse_user, with_columns
+from ..sources.tuples import COLUMNS, Relations, parse_object, parse_user, with_columns
 
-MAX_ITEMS = 50
+#: Requests in one batch, bytes of one context.
+MAX_ITEMS, MAX_CONTEXT = 50, 10_240
 
 
 def canonical(context: Column) -> Column:
@@ -21,50 +22,58 @@ def canonical(context: Column) -> Column:
     return F.when(F.try_parse_json(context).isNotNull() & context.rlike(r"^\s*\{"), F.to_json(F.try_parse_json(context)))
 
 
-def batch_check(model: Model, tuples: DataFrame, requests: DataFrame, contextual: DataFrame | None = None, link_conditions: bool = False) -> DataFrame:
-    """requests with ``allowed`` and ``error``.
+def batch_check(model: Model, tuples: DataFrame | Relations, requests: DataFrame, contextual: DataFrame | None = None, link_conditions: bool = False, max_items: int | None = None, max_context: int | None = None) -> DataFrame:
+    """requests with ``allowed``, ``error`` and ``error_kind``.
 
     requests: request_id, user (``type:id`` or ``type:id#relation``), relation, object, and perhaps context (JSON).
     contextual: request_id and tuple columns; each request sees its own. Equal (user, relation, object, context) are
-    evaluated once. ``error`` says why a request has no answer: a malformed or unknown part, or a condition that failed
-    where it decides; then ``allowed`` is false.
+    evaluated once. ``error`` says why a request has no answer: a malformed or unknown part, a condition that failed where
+    it decides, or a bound (``max_items`` requests of one ``batch_id``, ``max_context`` bytes of context) that it exceeds;
+    then ``allowed`` is false. All of these are the caller's (kind ``validation``); what is the engine's own fault is raised.
     """
     u_type, u_id, u_rel = parse_user(F.col("user"))
     o_type, o_id = parse_object(F.col("object"))
-    context = canonical(F.col("context").cast("string")) if "context" in requests.columns else F.lit(None).cast("string")
+    raw = F.col("context").cast("string") if "context" in requests.columns else F.lit(None).cast("string")
     known = [f"{t}#{r}" for t, rs in model.types.items() for r in rs]
-    q = requests.select("*", u_type.alias("_ut"), u_id.alias("_ui"), u_rel.alias("_ur"), o_type.alias("_ot"), o_id.alias("_oi"), F.coalesce(context, F.lit("{}")).alias("_ctx"))
+    q = requests.select("*", u_type.alias("_ut"), u_id.alias("_ui"), u_rel.alias("_ur"), o_type.alias("_ot"), o_id.alias("_oi"), F.coalesce(canonical(raw), F.lit("{}")).alias("_ctx"))
     problem = F.when(F.col("_ut").isNull(), F.lit("invalid user")).when(F.col("_ot").isNull(), F.lit("invalid object")).when(~F.col("_ot").isin(list(model.types)), F.lit("unknown type"))
     problem = problem.when(F.col("relation").isNull() | ~F.concat_ws("#", "_ot", "relation").isin(known), F.lit("unknown relation"))
-    own = F.lit(None).cast(requests.schema["request_id"].dataType)
+    if max_context is not None:
+        problem = problem.when(F.octet_length(raw) > max_context, F.lit("the context is too large"))
+    if max_items is not None:
+        by = ["batch_id"] if "batch_id" in requests.columns else []
+        sizes = requests.groupBy(*by).agg((F.count("*") > max_items).alias("_large"))
+        q = q.join(sizes.withColumnsRenamed({c: f"_size_{c}" for c in by}), functools.reduce(lambda a, b: a & b, [q[c].eqNullSafe(F.col(f"_size_{c}")) for c in by], F.lit(True))).drop(*[f"_size_{c}" for c in by])
+        problem = F.when(F.col("_large"), F.lit("the batch is too large")).otherwise(problem)
+    who = ["_ut", "_ui", "_ur", "_ctx"]
     if contextual is not None:
-        seen = contextual.select(F.col("request_id").alias("_rid")).distinct()
-        q = q.join(seen, q["request_id"] == F.col("_rid"), "left")
-        own = F.col("_rid")
-    q = q.withColumn("_own", own).withColumn("_problem", problem)
-    who = ["_ut", "_ui", "_ur", "_ctx", "_own"]
-    good = q.filter("_problem IS NULL").select(*who, "_ot", "relation", "_oi").distinct()
-    seeds = stored(good.select(*who).distinct().withColumn("seed_id", F.monotonically_increasing_id()))
-    same = functools.reduce(lambda a, b: a & b, [F.col(f"q.{c}").eqNullSafe(F.col(f"s.{c}")) for c in who])
-    pairs = stored(good.alias("q").join(seeds.alias("s"), same).select("seed_id", "q._ot", "q.relation", "q._oi"))
+        seen = contextual.select(F.col("request_id").alias("_own")).distinct()
+        q = q.join(seen, q["request_id"] == F.col("_own"), "left")
+        who.append("_own")
+    q = q.withColumn("_problem", problem)
+    seeds = stored(q.filter("_problem IS NULL").select(*who).distinct().withColumn("seed_id", F.monotonically_increasing_id()))
+    same = functools.reduce(lambda a, b: a & b, [F.col(f"q.{c}").eqNullSafe(F.col(f"s.{c}")) if c in ("_ur", "_own") else F.col(f"q.{c}") == F.col(f"s.{c}") for c in who])
+    asked = stored(q.alias("q").join(seeds.alias("s"), same, "left").select(*[F.col(f"q.{c}") for c in requests.columns], "_ot", "_oi", "_problem", "seed_id"))
+    pairs = asked.filter("_problem IS NULL")
     nodes = [(r[0], r[1]) for r in pairs.select("_ot", "relation").distinct().collect()]  # at most the model's relations
     extra = None
     if contextual is not None:
         extra = with_columns(contextual.join(seeds.select("seed_id", F.col("_own").alias("request_id")).filter("request_id IS NOT NULL"), "request_id")).select("seed_id", *COLUMNS)
-    asked = seeds.select("seed_id", F.col("_ut").alias("user_type"), F.col("_ui").alias("user_id"), F.col("_ur").alias("user_relation"), F.col("_ctx").alias("context"))
-    evaluator = Evaluator(model, with_columns(tuples), asked, extra, link_conditions)
+    users = seeds.select("seed_id", F.col("_ut").alias("user_type"), F.col("_ui").alias("user_id"), F.col("_ur").alias("user_relation"), F.col("_ctx").alias("context"))
+    evaluator = Evaluator(model, tuples, users, extra, link_conditions)
     wanted = {n: pairs.filter((F.col("_ot") == n[0]) & (F.col("relation") == n[1])).select("seed_id", F.col("_oi").alias("object_id")) for n in nodes}
     found = evaluator.run(nodes, wanted)
     label = lambda df, n, level: df.select("seed_id", F.lit(n[0]).alias("_ot"), F.lit(n[1]).alias("relation"), F.col("object_id").alias("_oi"), F.lit(level).alias("_level"))
-    parts = [label(a[k], n, level) for n, a in found.items() for k, level in ((0, 2), (1, 1)) if level == 2 or model.conditions]
-    empty = tuples.sparkSession.createDataFrame([], "seed_id bigint, _ot string, relation string, _oi string, _level int")
-    levels = functools.reduce(DataFrame.unionByName, parts, empty).groupBy("seed_id", "_ot", "relation", "_oi").agg(F.max("_level").alias("_level"))
-    answers = pairs.join(levels, ["seed_id", "_ot", "relation", "_oi"], "left").join(seeds, "seed_id")
-    answers = answers.select(*[F.col(c).alias(f"a{c}") for c in who], F.col("_ot").alias("a_ot"), F.col("relation").alias("a_rel"), F.col("_oi").alias("a_oi"), F.coalesce("_level", F.lit(0)).alias("_level"))
-    match = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"a{c}")) for c in who] + [F.col("_ot") == F.col("a_ot"), F.col("relation") == F.col("a_rel"), F.col("_oi") == F.col("a_oi")])
-    out = q.join(answers, match, "left")
+    parts = [label(a[0], n, 2) for n, a in found.items()] + [label(a[1], n, 1) for n, a in found.items() if a[1] is not a[0]]
+    empty = requests.sparkSession.createDataFrame([], "seed_id bigint, _ot string, relation string, _oi string, _level int")
+    levels = functools.reduce(DataFrame.unionByName, parts) if parts else empty
+    if len(parts) > len(found):  # a pair may be in both answers
+        levels = levels.groupBy("seed_id", "_ot", "relation", "_oi").agg(F.max("_level").alias("_level"))
+    keys = ["seed_id", "_ot", "relation", "_oi"]
+    out = asked.join(levels.withColumnsRenamed({k: f"_f_{k}" for k in keys}), functools.reduce(lambda a, b: a & b, [asked[k] == F.col(f"_f_{k}") for k in keys]), "left")
     error = F.coalesce(F.col("_problem"), F.when(F.col("_level") == 1, F.lit("condition failed")))
-    return out.select(*[F.col(c) for c in requests.columns], F.coalesce(F.col("_level") == 2, F.lit(False)).alias("allowed"), error.alias("error"))
+    allowed = F.col("_problem").isNull() & F.coalesce(F.col("_level") == 2, F.lit(False))
+    return out.select(*[F.col(c) for c in requests.columns], allowed.alias("allowed"), error.alias("error"), F.when(error.isNotNull(), F.lit("validation")).alias("error_kind"))
 
 
 def check(model: Model, tuples: DataFrame, user: str, relation: str, object_: str, context: dict | None = None, contextual: DataFrame | None = None, **options) -> bool:
@@ -81,4 +90,4 @@ def check(model: Model, tuples: DataFrame, user: str, relation: str, object_: st
 def run_assertions(model: Model, tuples: DataFrame, assertions: DataFrame) -> DataFrame:
     """assertions (position, user, relation, object, expectation, perhaps context) with ``allowed`` and ``passed``."""
     got = batch_check(model, tuples, assertions.withColumn("request_id", F.col("position")))
-    return got.drop("request_id").withColumn("passed", (F.col("allowed") == F.col("expectation")) & F.col("error").isNull())
+    return got.drop("request_id", "error_kind").withColumn("passed", (F.col("allowed") == F.col("expectation")) & F.col("error").isNull())

@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 def stored(df: DataFrame) -> DataFrame:
     """df written and read again, so that loops keep short plans and lost executors cost no recompute.
 
-    Only where a session names no folder (a local test) one is made and set.
+    Only a local session that names no folder (a test) gets one made and set; elsewhere that is an error.
     """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="aclweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/plan-{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ A seed is one distinct (user, context) of a batch, with its contextual tuples. A
 Users are bound at the leaves, where a wildcard matches every seed of its type, so intersection and exclusion are plain set
 operations. A condition that fails (a missing key, say) is neither true nor false, so with conditions every relation has a
 lower answer, where such a leaf is absent, and an upper one, where it is present; what is only in the upper one is an error.
+So is a tuple's condition that the model doesn't know. Relations below which no tuple has a condition have one answer.
 The excluded side of a difference is read from the other answer. Mutually dependent relations are least fixpoints: where all of a group's rules are linear, each round joins only
 what the last one found.
 """
@@ -25,6 +26,7 @@ from ..functions.cel import CelError
 from ..functions.compiler import compile_condition
 from ..model.ast import Computed, Difference, FromParent, Intersection, Model, Rewrite, This, TypeRef
 from ..model.validate import walk
+from ..sources.tuples import Relations, with_columns
 from .cut import stored
 from .strata import Node, recursive, strata, uses
 
@@ -40,24 +42,51 @@ class Evaluator:
 
     rounds = True
 
-    def __init__(self, model: Model, tuples: DataFrame, seeds: DataFrame, contextual: DataFrame | None = None, link_conditions: bool = False):
+    def __init__(self, model: Model, tuples: DataFrame | Relations, seeds: DataFrame, contextual: DataFrame | None = None, link_conditions: bool = False):
         self.model, self.seeds, self.link_conditions = model, seeds, link_conditions
         self.spark = seeds.sparkSession
-        self.tuples, self.contextual = tuples, contextual
-        lower: dict[Node, DataFrame] = {}
-        self.answers = (lower, {} if model.conditions else lower)
+        self.tuples, self.contextual = tuples if isinstance(tuples, Relations) else with_columns(tuples), contextual
+        self.answers: tuple[dict[Node, DataFrame], dict[Node, DataFrame]] = ({}, {})
         self.demand: dict[Node, DataFrame] | None = None
+        self._conditional: dict[Node, bool] = {}
+        self._named: set[Node] | None = None
 
     # leaves
 
     def rows(self, type_: str, relation: str) -> list[DataFrame]:
         """Stored tuples of a relation, and contextual ones (which have a seed_id)."""
         own = (F.col("object_type") == type_) & (F.col("relation") == relation)
-        out = [self.tuples.filter(own)]
+        out = [self.tuples.rows(type_, relation) if isinstance(self.tuples, Relations) else self.tuples.filter(own)]
         if self.contextual is not None:
             out.append(self.contextual.filter(own))
         return out
 
+    def conditional(self, type_: str, relation: str) -> bool:
+        """Whether any tuple of a relation names a condition."""
+        named = F.col("condition_name").isNotNull()
+        if isinstance(self.tuples, Relations) and self.contextual is None:
+            if (type_, relation) not in self._conditional:
+                self._conditional[type_, relation] = not self.tuples.rows(type_, relation).filter(named).isEmpty()
+            return self._conditional[type_, relation]
+        if self._named is None:
+            frames = [self.tuples.all() if isinstance(self.tuples, Relations) else self.tuples] + ([] if self.contextual is None else [self.contextual])
+            own = [df.filter(named).select("object_type", "relation") for df in frames]
+            known = [f"{t}#{r}" for t, rs in self.model.types.items() for r in rs]  # at most the model's relations
+            self._named = {(r[0], r[1]) for r in functools.reduce(DataFrame.unionByName, own).filter(F.concat_ws("#", "object_type", "relation").isin(known)).distinct().collect()}
+        return (type_, relation) in self._named
+
+    def mixed(self, groups: list[list[Node]]) -> set[Node]:
+        """The relations whose lower and upper answers may differ: a tuple that they read, or one below, has a condition."""
+        out: set[Node] = set()
+        for group in groups:
+            for n in group:
+                rules = list(walk(self.model.relation(*n).rewrite))
+                own = any(isinstance(r, This) for r in rules) and self.conditional(*n)
+                own = own or self.link_conditions and any(isinstance(r, FromParent) and self.conditional(n[0], r.tupleset) for r in rules)
+                if own or any(m in out for m, _ in uses(self.model, n)):
+                    out.update(group)
+        return out
+
     def allowed(self, types: list[TypeRef], rows: DataFrame) -> DataFrame:
         """Tuples whose user the relation's restrictions admit; no restrictions admit all."""
         if not types:
@@ -71,9 +100,12 @@ class Evaluator:
             ok = ok | F.concat_ws("#", "user_type", "user_relation").isin(sets) & F.col("user_relation").isNotNull()
         return rows.filter(ok)
 
-    def holding(self, rows: DataFrame, keep: list[str], upper: int) -> DataFrame:
-        """Rows (with seed_id) whose condition holds in the seed's context, or in the upper answer may hold."""
-        if not self.model.conditions:
+    def holding(self, rows: DataFrame, keep: list[str], upper: int, conditional: bool = True) -> DataFrame:
+        """Rows (with seed_id) whose condition holds in the seed's context, or in the upper answer may hold.
+
+        A condition that the model doesn't know is one that fails.
+        """
+        if not conditional:
             return rows.filter(F.col("condition_name").isNull()).select(*keep)
         rows = rows.join(self.seeds.select("seed_id", "context"), "seed_id")
         true, false = F.lit(True), F.lit(False)
@@ -113,7 +145,7 @@ class Evaluator:
                 found.append(rows.join(users, exact(rows)).select(*keep))
                 found.append(wild.join(users, everyone(wild)).filter(F.col("_r").isNull()).select(*keep))
         both = functools.reduce(DataFrame.unionByName, found)
-        return self.holding(both, ["seed_id", "object_id"], upper)
+        return self.holding(both, ["seed_id", "object_id"], upper, self.conditional(*node))
 
     def usersets(self, node: Node, types: list[TypeRef], answers: dict[Node, DataFrame], upper: int) -> DataFrame | None:
         """Pairs by a tuple that names a userset in ``answers`` which the seed belongs to."""
@@ -129,7 +161,7 @@ class Evaluator:
                 found.append(joined.select("seed_id", "object_id", "condition_name", "condition_context"))
         if not found:
             return None
-        return self.holding(functools.reduce(DataFrame.unionByName, found), ["seed_id", "object_id"], upper)
+        return self.holding(functools.reduce(DataFrame.unionByName, found), ["seed_id", "object_id"], upper, self.conditional(*node))
 
     def from_parent(self, node: Node, r: FromParent, answers: dict[Node, DataFrame], upper: int) -> DataFrame | None:
         """Pairs by a tupleset's tuple that names an object in ``answers``."""
@@ -147,7 +179,7 @@ class Evaluator:
         if not found:
             return None
         out = functools.reduce(DataFrame.unionByName, found)
-        return self.holding(out, ["seed_id", "object_id"], upper) if self.link_conditions else out.select("seed_id", "object_id")
+        return self.holding(out, ["seed_id", "object_id"], upper, self.conditional(node[0], r.tupleset)) if self.link_conditions else out.select("seed_id", "object_id")
 
     # rules
 
@@ -214,6 +246,7 @@ class Evaluator:
         self.demand = {}
         for group in groups:
             own = {n: functools.reduce(DataFrame.unionByName, wanted[n]).distinct() if n in wanted else None for n in group}
+            known: dict[Node, DataFrame] = {}
             if recursive(self.model, group):
                 known = {n: stored(d if d is not None else self.none()) for n, d in own.items()}
                 fresh = dict(known)
@@ -228,7 +261,9 @@ class Evaluator:
                         known[m] = known[m].unionByName(d)
                 own = known
             for n in group:
-                self.demand[n] = own[n] if own[n] is not None else self.none()
+                # asked for by several others and read more than once: kept, but for the requested pairs, which are kept already
+                asked_for = own[n] is not None and n not in known and (n not in requested or len(wanted[n]) > 1)
+                self.demand[n] = self.none() if own[n] is None else stored(own[n]) if asked_for else own[n]
                 targets = {m for m, _ in uses(self.model, n)} - set(group)
                 for m, pairs in self.below(n, self.demand[n], targets) if targets else ():
                     wanted.setdefault(m, []).append(pairs)
@@ -263,13 +298,17 @@ class Evaluator:
         """Lower and upper answers of the roots; with ``requested`` pairs only as far as these need them."""
         if requested is not None:
             self.find_demand(requested)
-        for group in strata(self.model, roots):
-            for upper in (0, 1) if self.model.conditions else (0,):
+        groups = strata(self.model, roots)
+        mixed = self.mixed(groups)
+        for group in groups:
+            for upper in (0, 1) if group[0] in mixed else (0,):
                 if recursive(self.model, group):
                     self.fixpoint(group, upper)
                 else:
                     found = self.rule(group[0], self.model.relation(*group[0]).rewrite, self.answers[upper], upper)
                     self.answers[upper][group[0]] = found.distinct()
+            if group[0] not in mixed:
+                self.answers[1].update({n: self.answers[0][n] for n in group})
         return {n: (self.answers[0][n], self.answers[1][n]) for n in roots}
 
 
@@ -279,9 +318,35 @@ class DirectEvaluator(Evaluator):
 
     rounds = False
 
-    def __init__(self, model: Model, tuples: DataFrame, seeds: DataFrame):
+    def __init__(self, model: Model, tuples: DataFrame | Relations, seeds: DataFrame):
         super().__init__(model, tuples, seeds, None, True)
 
+    def conditional(self, type_: str, relation: str) -> bool:
+        """Whether any tuple of a relation names a condition."""
+        named = F.col("condition_name").isNotNull()
+        if isinstance(self.tuples, Relations) and self.contextual is None:
+            if (type_, relation) not in self._conditional:
+                self._conditional[type_, relation] = not self.tuples.rows(type_, relation).filter(named).isEmpty()
+            return self._conditional[type_, relation]
+        if self._named is None:
+            frames = [self.tuples.all() if isinstance(self.tuples, Relations) else self.tuples] + ([] if self.contextual is None else [self.contextual])
+            own = [df.filter(named).select("object_type", "relation") for df in frames]
+            known = [f"{t}#{r}" for t, rs in self.model.types.items() for r in rs]  # at most the model's relations
+            self._named = {(r[0], r[1]) for r in functools.reduce(DataFrame.unionByName, own).filter(F.concat_ws("#", "object_type", "relation").isin(known)).distinct().collect()}
+        return (type_, relation) in self._named
+
+    def mixed(self, groups: list[list[Node]]) -> set[Node]:
+        """The relations whose lower and upper answers may differ: a tuple that they read, or one below, has a condition."""
+        out: set[Node] = set()
+        for group in groups:
+            for n in group:
+                rules = list(walk(self.model.relation(*n).rewrite))
+                own = any(isinstance(r, This) for r in rules) and self.conditional(*n)
+                own = own or self.link_conditions and any(isinstance(r, FromParent) and self.conditional(n[0], r.tupleset) for r in rules)
+                if own or any(m in out for m, _ in uses(self.model, n)):
+                    out.update(group)
+        return out
+
     def allowed(self, types: list[TypeRef], rows: DataFrame) -> DataFrame:
         return rows
 

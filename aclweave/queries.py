@@ -8,9 +8,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .model import Model, parse_dsl
 from .operators import batch_check, expand_rows, list_objects, list_users, run_assertions
+from .operators.check import MAX_CONTEXT
 from .operators.index import materialise
 from .plans.cut import stored
 from .sources import changes, tuples
@@ -104,21 +106,32 @@ GROUPS_SQL = "gm AS (SELECT object_id AS g, user_id AS u FROM t WHERE object_typ
 WITH = f"WITH RECURSIVE {TUPLES_SQL}, {GROUPS_SQL}"
 
 
+#: Schemas by path: a table's footers are read once, not once a branch.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def tuple_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All tuples; a filter on type and relation leaves only the branches that have any, and reaches their scans."""
-    out = None
+def relations(spark: SparkSession, sf_dir: str) -> tuples.Relations:
+    """All tuples, by type and relation."""
+    parts = []
     for k, branch in enumerate(_BRANCHES):
         cols, source = _select(branch)
         name, _, where = source.partition(" WHERE ")
         df = table(spark, sf_dir, name)
         df = (df.filter(where) if where else df).selectExpr(*[x.replace("VARCHAR(20)", "STRING") for x in _split(cols)])
-        df = df.distinct() if k in _REPEATED else df
-        out = df if out is None else out.unionByName(df)
-    return out
+        parts.append((branch[0], branch[2], df.distinct() if k in _REPEATED else df))
+    return tuples.Relations(spark, parts)
+
+
+def tuple_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tuples; a filter on type and relation leaves only the branches that have any, and reaches their scans."""
+    return relations(spark, sf_dir).all()
 
 
 def _split(cols: str) -> list[str]:
@@ -152,7 +165,7 @@ def _answers(df: DataFrame) -> DataFrame:
 
 def _order_check(relation: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _answers(batch_check(model(), tuple_view(spark, sf_dir), _order_requests(spark, sf_dir, relation)))
+        return _answers(batch_check(model(), relations(spark, sf_dir), _order_requests(spark, sf_dir, relation)))
 
     return run
 
@@ -176,12 +189,12 @@ def check_lineitems(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     q = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     q = q.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request_id"), F.concat(F.lit("user:c"), ((F.col("o_custkey") + 1) % 150).cast("string")).alias("user"), F.lit("viewer").alias("relation"), F.concat(F.lit("lineitem:"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("object"))
-    return _answers(batch_check(model(), tuple_view(spark, sf_dir), q))
+    return _answers(batch_check(model(), relations(spark, sf_dir), q))
 
 
 def check_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("request_id"), F.concat(F.lit("user:c"), (F.col("p_partkey") % 150).cast("string")).alias("user"), F.lit("viewer").alias("relation"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("object"))
-    return _answers(batch_check(model(), tuple_view(spark, sf_dir), q))
+    return _answers(batch_check(model(), relations(spark, sf_dir), q))
 
 
 def _sign_requests(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
@@ -191,12 +204,12 @@ def _sign_requests(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame
 
 
 def check_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = batch_check(model(), tuple_view(spark, sf_dir), _sign_requests(spark, sf_dir, "approver"))
+    out = batch_check(model(), relations(spark, sf_dir), _sign_requests(spark, sf_dir, "approver"))
     return out.select("request_id", "allowed", F.col("error").isNotNull().alias("failed"))
 
 
 def check_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = batch_check(model(), tuple_view(spark, sf_dir), _sign_requests(spark, sf_dir, "can_sign"))
+    out = batch_check(model(), relations(spark, sf_dir), _sign_requests(spark, sf_dir, "can_sign"))
     return out.select("request_id", "allowed", F.col("error").isNotNull().alias("failed"))
 
 
@@ -208,20 +221,60 @@ def check_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of groups that contain each other."""
     c = table(spark, sf_dir, "customer")
     q = c.select(F.col("c_custkey").alias("request_id"), F.concat(F.lit("user:c"), F.col("c_custkey").cast("string")).alias("user"), F.lit("member").alias("relation"), F.lit("group:AUTOMOBILE").alias("object"))
-    return _answers(batch_check(model(), tuple_view(spark, sf_dir), q))
+    return _answers(batch_check(model(), relations(spark, sf_dir), q))
 
 
 def check_batch_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests under two ids each."""
     q = _order_requests(spark, sf_dir, "can_edit")
-    return _answers(batch_check(model(), tuple_view(spark, sf_dir), q.unionByName(q.withColumn("request_id", -F.col("request_id") - 1))))
+    return _answers(batch_check(model(), relations(spark, sf_dir), q.unionByName(q.withColumn("request_id", -F.col("request_id") - 1))))
 
 
 def check_contextual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Owners of orders, some of which are blocked by the request itself."""
     q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("user:c"), F.col("o_custkey").cast("string")).alias("user"), F.lit("can_edit").alias("relation"), F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("object"), F.col("o_custkey"))
     extra = q.filter("request_id % 2 = 0").select("request_id", F.lit("order").alias("object_type"), F.col("request_id").cast("string").alias("object_id"), F.lit("blocked").alias("relation"), F.lit("user").alias("user_type"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("user_id"))
-    return _answers(batch_check(model(), tuple_view(spark, sf_dir), q.drop("o_custkey"), extra))
+    return _answers(batch_check(model(), relations(spark, sf_dir), q.drop("o_custkey"), extra))
+
+
+def check_condition_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners of orders that are blocked where a condition over a list holds; where it fails, no answer may be given."""
+    text = """
+type user
+type order
+  relations
+    define owner: [user]
+    define blocked: [user with divides]
+    define can_edit: owner but not blocked
+condition divides(l: list<int>) {
+  l.exists(x, 10 / x > 1)
+}
+"""
+    o = table(spark, sf_dir, "orders")
+    user, id_ = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.col("o_orderkey").cast("string")
+    own = lambda relation, condition: o.select(F.lit("order").alias("object_type"), id_.alias("object_id"), F.lit(relation).alias("relation"), F.lit("user").alias("user_type"), user.alias("user_id"), F.lit(condition).cast("string").alias("condition_name"))
+    held = own("owner", None).unionByName(own("blocked", "divides").filter("CAST(object_id AS BIGINT) % 2 = 0")).unionByName(own("blocked", "unheard_of").filter("CAST(object_id AS BIGINT) % 9 = 1"))
+    # 0 fails unless 2 decides; 20 alone holds for none
+    context = F.concat(F.lit('{"l":['), F.element_at(F.array(*[F.lit(x) for x in ("0", "0,2", "20", "2")]), (F.col("o_orderkey") % 8 / 2 + 1).cast("int")), F.lit("]}"))
+    q = o.select(F.col("o_orderkey").alias("request_id"), F.concat(F.lit("user:"), user).alias("user"), F.lit("can_edit").alias("relation"), F.concat(F.lit("order:"), id_).alias("object"), context.alias("context"))
+    return batch_check(parse_dsl(text), held, q).select("request_id", "allowed", F.col("error").isNotNull().alias("failed"))
+
+
+def user_colon_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose ids hold colons, in text and in parts."""
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_id"), F.concat_ws("", F.lit("user:auth0:"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 3 == 0, F.lit("#member")).when(F.col("c_custkey") % 3 == 1, F.lit("#"))).alias("user"))
+    t, i, r = tuples.parse_user(F.col("user"))
+    return users.select("request_id", t.alias("user_type"), i.alias("user_id"), r.alias("user_relation"))
+
+
+def batch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with malformed and unknown parts, large contexts and large batches (a customer's orders are one)."""
+    k = F.col("o_orderkey")
+    user = F.when(k % 5 == 0, F.lit("nobody")).otherwise(F.concat(F.lit("user:c"), F.col("o_custkey").cast("string")))
+    object_ = F.when(k % 7 == 0, F.lit("order:")).when(k % 11 == 0, F.lit("thing:1")).otherwise(F.concat(F.lit("order:"), k.cast("string")))
+    context = F.when(k % 17 == 0, F.concat(F.lit('{"x":"'), F.repeat(F.lit("y"), 11_000), F.lit('"}')))
+    q = table(spark, sf_dir, "orders").select(k.alias("request_id"), F.col("o_custkey").alias("batch_id"), user.alias("user"), F.when(k % 13 == 0, F.lit("nothing")).otherwise(F.lit("owner")).alias("relation"), object_.alias("object"), context.alias("context"))
+    return batch_check(model(), relations(spark, sf_dir), q, max_items=12, max_context=MAX_CONTEXT).select("request_id", "allowed", "error", "error_kind")
 
 
 def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,15 +283,15 @@ def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def objects_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_objects(model(), tuple_view(spark, sf_dir), _customers(spark, sf_dir), "viewer", "customer")
+    return list_objects(model(), relations(spark, sf_dir), _customers(spark, sf_dir), "viewer", "customer")
 
 
 def objects_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_objects(model(), tuple_view(spark, sf_dir), _customers(spark, sf_dir), "can_edit", "order", mode="direct")
+    return list_objects(model(), relations(spark, sf_dir), _customers(spark, sf_dir), "can_edit", "order", mode="direct")
 
 
 def objects_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_objects(model(), tuple_view(spark, sf_dir), _customers(spark, sf_dir), "owner", "order", limit=5)
+    return list_objects(model(), relations(spark, sf_dir), _customers(spark, sf_dir), "owner", "order", limit=5)
 
 
 def users_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,7 +416,7 @@ def tuple_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assertions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's customer is expected to edit it."""
     q = _order_requests(spark, sf_dir, "can_edit").filter("request_id % 2 = 0").withColumnRenamed("request_id", "position").withColumn("expectation", F.lit(True))
-    return run_assertions(model(), tuple_view(spark, sf_dir), q).select("position", "passed")
+    return run_assertions(model(), relations(spark, sf_dir), q).select("position", "passed")
 
 
 def permission_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -385,6 +438,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "check_ttu_chain": check_lineitems,
     "check_wildcard": check_wildcard,
     "check_condition": check_condition,
+    "check_condition_macro": check_condition_macro,
+    "user_colon_ids": user_colon_ids,
+    "batch_errors": batch_errors,
     "check_recursive_group": check_groups,
     "check_contextual": check_contextual,
     "batch_check_dedup": check_batch_repeats,
@@ -424,6 +480,12 @@ ORACLES: dict[str, str] = {
     "check_union_ttu": f"{WITH}, {_CHAIN}, {REQUESTS_SQL} SELECT request_id, 'user:' || u AS \"user\", 'order:' || o AS object, {_SEES} AS allowed FROM q",
     "check_intersection": CONDITION_SQL,
     "check_condition": CONDITION_SQL,
+    "check_condition_macro": """SELECT o_orderkey AS request_id, o_orderkey % 9 <> 1 AND (o_orderkey % 2 = 1 OR o_orderkey % 8 = 4) AS allowed,
+  NOT (o_orderkey % 2 = 0 AND o_orderkey % 8 IN (2, 6)) AND (o_orderkey % 9 = 1 OR o_orderkey % 8 = 0) AS failed FROM orders""",
+    "user_colon_ids": "SELECT c_custkey AS request_id, CASE WHEN c_custkey % 3 <> 1 THEN 'user' END AS user_type, CASE WHEN c_custkey % 3 <> 1 THEN 'auth0:' || CAST(c_custkey AS VARCHAR) END AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 'member' END AS user_relation FROM customer",
+    "batch_errors": """WITH q AS (SELECT o_orderkey AS k, CASE WHEN count(*) OVER (PARTITION BY o_custkey) > 12 THEN 'the batch is too large' WHEN o_orderkey % 5 = 0 THEN 'invalid user' WHEN o_orderkey % 7 = 0 THEN 'invalid object' WHEN o_orderkey % 11 = 0 THEN 'unknown type'
+  WHEN o_orderkey % 13 = 0 THEN 'unknown relation' WHEN o_orderkey % 17 = 0 THEN 'the context is too large' END AS error FROM orders)
+  SELECT k AS request_id, error IS NULL AS allowed, error, CASE WHEN error IS NOT NULL THEN 'validation' END AS error_kind FROM q""",
     "check_ttu_chain": f"""{WITH}, {_CHAIN}, q AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS request_id, CONCAT('c', {_V.format('(o_custkey + 1) % 150')}) AS u, {_V.format('o_orderkey')} AS o, CONCAT({_V.format('l_orderkey')}, '-', {_V.format('l_linenumber')}) AS l FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
   SELECT request_id, 'user:' || u AS "user", 'lineitem:' || l AS object, {_SEES} AS allowed FROM q""",
     "check_wildcard": "SELECT p_partkey AS request_id, 'user:c' || CAST(p_partkey % 150 AS VARCHAR) AS \"user\", 'part:' || CAST(p_partkey AS VARCHAR) AS object, p_size <= 5 AS allowed FROM part",

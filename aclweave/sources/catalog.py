@@ -20,6 +20,8 @@ ASSERTIONS = "store_id string, model_id string, position int, user string, relat
 #: Digits of sortable ids, largest sizes.
 _DIGITS = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 MAX_WRITES, MAX_MODEL_BYTES, MAX_NAME = 100, 1 << 20, 256
+#: Parsed models that are remembered.
+KEPT_MODELS = 1000
 
 
 def new_id() -> str:
@@ -35,7 +37,7 @@ def latest_models(models: DataFrame) -> DataFrame:
 
 
 class Catalog:
-    """Stores below one folder. Tables are appended to or replaced as a whole; parsed models are remembered by id."""
+    """Stores below one folder. Tables are appended to or replaced as a whole; the last parsed models are remembered by id."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self._models = spark, path.rstrip("/"), {}
@@ -80,7 +82,10 @@ class Catalog:
         self._append("stores", [(id_, name, old["created_at"], dt.datetime.now(dt.UTC).replace(tzinfo=None), False)], STORES)
 
     def delete_store(self, id_: str) -> None:
-        """The store goes, and with it what is kept under it: later reads don't find it."""
+        """The store goes, and with it what is kept under it: a store made again under its id starts empty.
+
+        Models and log rows count only from their store's creation on.
+        """
         old = self._store(id_)
         self._append("stores", [(id_, old["name"], old["created_at"], dt.datetime.now(dt.UTC).replace(tzinfo=None), True)], STORES)
 
@@ -96,8 +101,10 @@ class Catalog:
         return id_
 
     def models(self, store_id: str) -> DataFrame:
-        self._store(store_id)
-        return self._read("models", MODELS).filter(F.col("store_id") == store_id).orderBy(F.col("created_at").desc(), F.col("id").desc())
+        since = self._store(store_id)["created_at"]
+        gone = self._read("deleted_models", "id string, store_id string").filter(F.col("store_id") == store_id)
+        own = self._read("models", MODELS).filter((F.col("store_id") == store_id) & (F.col("created_at") >= F.lit(since)))
+        return own.join(gone.select("id"), "id", "left_anti").orderBy(F.col("created_at").desc(), F.col("id").desc())
 
     def model(self, store_id: str, id_: str | None = None) -> Model:
         """A version, or the latest."""
@@ -106,19 +113,27 @@ class Catalog:
         if row is None:
             raise KeyError(f"store {store_id} has no model {id_ or ''}".strip())
         if row["id"] not in self._models:
+            if len(self._models) >= KEPT_MODELS:
+                self._models.pop(next(iter(self._models)))
             self._models[row["id"]] = from_json(row["model_json"])
             self._models[row["id"]].id = row["id"]
         return self._models[row["id"]]
 
+    def delete_model(self, store_id: str, id_: str) -> None:
+        """The version goes; the latest of the others takes its place."""
+        self.model(store_id, id_)
+        self._append("deleted_models", [(id_, store_id)], "id string, store_id string")
+        self._models.pop(id_, None)
+
     # tuples
 
     def tuples(self, store_id: str) -> DataFrame:
-        self._store(store_id)
         return changes.state(self.log(store_id)).select(*tuples.COLUMNS)
 
     def log(self, store_id: str) -> DataFrame:
+        since = self._store(store_id)["created_at"]
         schema = ", ".join(f"{c} string" for c in tuples.COLUMNS) + ", operation string, changed_at timestamp_ntz, seq bigint"
-        return self._read(f"log/{store_id}", schema)
+        return self._read(f"log/{store_id}", schema).filter(F.col("changed_at") >= F.lit(since))
 
     def write(self, store_id: str, writes: DataFrame | None = None, deletes: DataFrame | None = None, limit: int | None = MAX_WRITES) -> None:
         """Deletes, then writes, as one appended set of log rows; nothing is written if any tuple is refused."""
@@ -126,12 +141,15 @@ class Catalog:
         given = [tuples.with_columns(df) for df in (writes, deletes) if df is not None]
         if limit is not None and sum(df.count() for df in given) > limit:
             raise ValueError(f"more than {limit} tuples in one request")
+        if deletes is not None and (bad := tuples.problems(tuples.with_columns(deletes)).filter("problem IS NOT NULL").head()) is not None:
+            raise ValueError(bad["problem"])
         if writes is not None:
             writes = tuples.with_columns(writes).dropDuplicates(list(tuples.KEY))
             bad = tuples.problems(writes, model).filter("problem IS NOT NULL").head()
             if bad is not None:
                 raise ValueError(bad["problem"])
-            stored = self.tuples(store_id)
+            # only the log of the written keys decides
+            stored = changes.state(tuples.with_keys(self.log(store_id), writes)).select(*tuples.COLUMNS)
             if deletes is not None:
                 stored = tuples.merged(stored, None, tuples.with_columns(deletes))
             if (found := tuples.conflicts(stored, writes).head()) is not None:

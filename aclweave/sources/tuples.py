@@ -22,15 +22,30 @@ KEY = COLUMNS[:6]
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 #: Longest field lengths in bytes.
 LIMITS = {"object_type": 254, "object_id": 256, "relation": 50, "user_id": 512, "condition_name": 256}
-USER = r"^([^:#]+):([^:#]+)(?:#([^:#]+))?$"
 
 
 class ConditionConflict(ValueError):
     """A key is stored with one condition and written with another."""
 
 
-def with_columns(df: DataFrame) -> DataFrame:
+class Relations:
+    """Tuples kept apart by object type and relation, so that who reads one relation plans only what holds it."""
+
+    def __init__(self, spark: SparkSession, parts: list[tuple[str, str, DataFrame]]):
+        self.spark, self.parts = spark, [(t, r, with_columns(df)) for t, r, df in parts]
+
+    def rows(self, type_: str, relation: str) -> DataFrame:
+        own = [df for t, r, df in self.parts if (t, r) == (type_, relation)]
+        return functools.reduce(DataFrame.unionByName, own) if own else self.spark.createDataFrame([], SCHEMA)
+
+    def all(self) -> DataFrame:
+        return functools.reduce(DataFrame.unionByName, [df for _, _, df in self.parts], self.spark.createDataFrame([], SCHEMA))
+
+
+def with_columns(df: DataFrame | Relations) -> DataFrame:
     """df with all tuple columns, missing ones null, further ones kept after them."""
+    if isinstance(df, Relations):
+        return df.all()
     own = [F.col(c).cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS]
     return df.select(*own, *[c for c in df.columns if c not in COLUMNS])
 
@@ -46,6 +61,11 @@ def read_jdbc(spark: SparkSession, url: str, dbtable: str, **options: str) -> Da
     return with_columns(spark.read.format("jdbc").options(url=url, dbtable=dbtable, **options).load())
 
 
+def write_jdbc(df: DataFrame, url: str, dbtable: str, mode: str = "append", **options: str) -> None:
+    """Tuples to a relational database, by as many connections as ``numPartitions`` says (Spark's option)."""
+    with_columns(df).write.format("jdbc").mode(mode).options(url=url, dbtable=dbtable, **options).save()
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ("object_type",)) -> None:
     """Tuples as Parquet, laid out so that a type's tuples are read alone and relations are skipped by statistics."""
     df.repartition(*partition_by, F.pmod(F.xxhash64("object_id"), F.lit(32))).sortWithinPartitions(*partition_by, "relation", "object_id").write.mode(mode).partitionBy(*partition_by).parquet(path)
@@ -66,10 +86,17 @@ def from_text(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def parse_user(user: Column) -> tuple[Column, Column, Column]:
-    """(type, id, relation or null) of ``type:id`` or ``type:id#relation``; nulls where it is neither."""
-    good = user.rlike(USER)
-    part = lambda i: F.when(good, F.regexp_extract(user, USER, i))
-    return part(1), part(2), F.nullif(part(3), F.lit(""))
+    """(type, id, relation or null) of ``type:id`` or ``type:id#relation``; nulls where it is neither.
+
+    The first ``#`` ends the id and the first colon the type, so ids may hold colons.
+    """
+    hash_ = F.instr(user, F.lit("#"))
+    head = F.when(hash_ > 0, F.substring(user, F.lit(1), hash_ - 1)).otherwise(user)
+    relation = F.when(hash_ > 0, F.substring(user, hash_ + 1, F.length(user)))
+    colon = F.instr(head, F.lit(":"))
+    id_ = F.substring(head, colon + 1, F.length(head))
+    good = (colon > 1) & (id_ != "") & ((hash_ == 0) | (relation != ""))
+    return F.when(good, F.substring(head, F.lit(1), colon - 1)), F.when(good, id_), F.when(good, relation)
 
 
 def parse_object(object_: Column) -> tuple[Column, Column]:
@@ -123,9 +150,9 @@ def filtered(df: DataFrame, object_type: str | None = None, object_id: str | Non
         if value is not None:
             df = df.filter(F.col(name) == value)
     if user is not None:
-        type_, _, rest = user.partition(":")
-        id_, hash_, rel = rest.partition("#")
-        if not type_ or not id_ or ":" in rest or (hash_ and not rel) or "#" in rel:
+        head, hash_, rel = user.partition("#")
+        type_, _, id_ = head.partition(":")
+        if not type_ or not id_ or (hash_ and not rel):
             raise ValueError(f"not a user: {user}")
         df = df.filter((F.col("user_type") == type_) & (F.col("user_id") == id_) & F.col("user_relation").eqNullSafe(F.lit(rel or None)))
     return df
@@ -179,9 +206,19 @@ def merged(stored: DataFrame, writes: DataFrame | None = None, deletes: DataFram
     return stored.unionByName(new, allowMissingColumns=True)
 
 
+def with_keys(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """The rows whose key is among the others'."""
+    return _matched(rows, others, "left_semi")
+
+
 def _without(rows: DataFrame, others: DataFrame) -> DataFrame:
+    return _matched(rows, others, "left_anti")
+
+
+def _matched(rows: DataFrame, others: DataFrame, how: str) -> DataFrame:
     right = others.select(*[F.col(c).alias(f"_o_{c}") for c in KEY])
-    return rows.join(right, functools.reduce(lambda x, y: x & y, [rows[c].eqNullSafe(right[f"_o_{c}"]) for c in KEY]), "left_anti")
+    same = [rows[c].eqNullSafe(right[f"_o_{c}"]) if c == "user_relation" else rows[c] == right[f"_o_{c}"] for c in KEY]
+    return rows.join(right, functools.reduce(lambda x, y: x & y, same), how)
 
 
 # what the engine's single look-ups are, as sets

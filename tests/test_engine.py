@@ -168,3 +168,26 @@ def test_demand_reads_only_what_is_asked(spark, stored):
     q = spark.createDataFrame([(0, "user:a", "blocked", "doc:2")], "request_id int, user string, relation string, object string")
     out = batch_check(WORK, stored, q).filter(F.col("allowed"))
     assert out.count() == 1
+
+
+def test_a_failing_or_unknown_condition_never_grants(spark):
+    model = parse_dsl("""
+type user
+type doc
+  relations
+    define owner: [user]
+    define blocked: [user with c]
+    define can: owner but not blocked
+condition c(l: list<int>) {
+  request.l.exists(x, 10 / x > 1)
+}
+""")
+    rows = from_text(spark, [("user:a", "owner", "doc:1"), ("user:a", "blocked", "doc:1", "c", None), ("user:a", "owner", "doc:2"), ("user:a", "blocked", "doc:2", "nowhere", None), ("user:a", "owner", "doc:3")])
+    ask = lambda l: [(0, "user:a", "can", "doc:1", l), (1, "user:a", "can", "doc:2", l), (2, "user:a", "can", "doc:3", l)]  # noqa: E731, E741
+    for context, first in (('{"l":[0]}', (False, "condition failed")), ('{"l":[0,2]}', (False, None)), ('{"l":[10]}', (True, None))):
+        q = spark.createDataFrame(ask(context), "request_id int, user string, relation string, object string, context string")
+        got = {r.request_id: (r.allowed, r.error) for r in batch_check(model, rows, q).collect()}
+        assert got == {0: first, 1: (False, "condition failed"), 2: (True, None)}
+    plain = parse_dsl("type user\ntype doc\n relations\n define owner: [user]\n define blocked: [user]\n define can: owner but not blocked")
+    q = spark.createDataFrame(ask(None), "request_id int, user string, relation string, object string, context string")
+    assert {r.request_id: (r.allowed, r.error) for r in batch_check(plain, rows, q).collect()} == {0: (False, "condition failed"), 1: (False, "condition failed"), 2: (True, None)}

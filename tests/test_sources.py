@@ -16,7 +16,7 @@ MODEL = parse_dsl("type user\ntype doc\n relations\n define viewer: [user, user
 def test_text_forms(spark):
     df = spark.createDataFrame([("user:a",), ("g:x#m",), ("bad",), ("a:b:c",), ("a:b#",), ("user:*",)], "u string")
     t, i, r = tuples.parse_user(F.col("u"))
-    assert [tuple(x) for x in df.select(t, i, r).collect()] == [("user", "a", None), ("g", "x", "m"), (None, None, None), (None, None, None), (None, None, None), ("user", "*", None)]
+    assert [tuple(x) for x in df.select(t, i, r).collect()] == [("user", "a", None), ("g", "x", "m"), (None, None, None), ("a", "b:c", None), (None, None, None), ("user", "*", None)]
     o = spark.createDataFrame([("doc:a:b",), ("doc:",), (":x",), ("doc",)], "o string")
     assert [tuple(x) for x in o.select(*tuples.parse_object(F.col("o"))).collect()] == [("doc", "a:b"), (None, None), (None, None), (None, None)]
 
@@ -89,3 +89,22 @@ def test_table_layout_prunes(spark, tmp_path):
     tuples.write_table(df, str(tmp_path / "t"))
     plan = tuples.read(spark, str(tmp_path / "t")).filter("object_type = 'doc' AND relation = 'viewer'")._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(object_type" in plan
+
+
+def test_a_deleted_store_leaves_nothing(spark, tmp_path):
+    cat = Catalog(spark, f"file://{tmp_path}/again")
+    cat.create_store("one", "s")
+    first = cat.write_model("s", MODEL)
+    cat.write("s", from_text(spark, [("user:a", "viewer", "doc:1")]))
+    second = cat.write_model("s", MODEL)
+    cat.delete_model("s", second)
+    assert cat.model("s").id == first and [r.id for r in cat.models("s").collect()] == [first]
+    with pytest.raises(KeyError):
+        cat.model("s", second)
+    with pytest.raises(ValueError, match="empty"):
+        cat.write("s", None, from_text(spark, [("user:a", "viewer", "doc:1")]).withColumn("object_id", F.lit("")))
+    cat.delete_store("s")
+    cat.create_store("two", "s")
+    assert cat.tuples("s").count() == 0 and cat.models("s").count() == 0
+    with pytest.raises(KeyError):
+        cat.model("s")
