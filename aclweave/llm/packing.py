@@ -2,7 +2,8 @@
 
 Lengths lie between 1 and the capacity, so the whole packing problem is a histogram of ``capacity`` numbers, whatever the
 number of documents. The plan is made on that histogram: patterns (lists of lengths) with how often each is used. Pieces
-are then dealt to pattern slots by their rank within their length, in parallel.
+are then dealt to pattern slots by their rank within their length, in parallel. Pieces that fill a sequence alone take no
+part in that.
 
 Defined results: a null text is empty and packs its end id alone; an empty table gives no rows; repeated rows are packed as
 often as they occur; further columns are ignored.
@@ -17,16 +18,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import arrow_pass, saved, table
-from .tokens import Encoder, default_vocabulary
+from .tokens import default_vocabulary, worker_encoder
 
 CAPACITY, END_ID = 2048, 0
+#: Pieces of one length that are ranked in one group.
+SALTED = 20_000
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Patterns of lengths and how often to use each, using up ``counts``.
 
-    A bin is filled greedily, always with the longest length that still fits; then its smallest member is replaced by the
-    two unpacked lengths that fill the widened gap best, if they fill it more tightly. One pattern serves as many bins as
+    A bin is filled greedily, always with the longest length that still fits; then its smallest member (of one alone, that)
+    is replaced by the two unpacked lengths that fill the widened gap best, if they fill it more tightly. One pattern serves as many bins as
     the counts allow, and each use of one exhausts a length, so there are at most ``capacity`` patterns.
     """
     left = {n: c for n, c in counts.items() if c > 0}
@@ -42,7 +45,7 @@ def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int],
                 used[n] = used.get(n, 0) + 1
                 gap -= n
         small = bin_[-1]
-        if gap and len(bin_) > 1:
+        if gap:
             used[small] -= 1
             room, best = gap + small, (small, ())
             free = [n for n in reversed(lengths) if left[n] > used.get(n, 0) and n < room]
@@ -83,7 +86,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     """Each document's ids and end id, cut into pieces only where they exceed the capacity."""
 
     def make():
-        encode, end = Encoder(vocabulary), end_id.to_bytes(4, "little")
+        encode, end = worker_encoder(vocabulary), end_id.to_bytes(4, "little")
 
         def run(cols: dict) -> dict:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
@@ -104,30 +107,32 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (a stored table with ``length``) with ``sequence_id`` and ``offset``.
 
-    Ranks within a length come from counts per (length, salt) and a row number within each such group, so a length that
-    very many pieces share is ranked by many tasks.
+    Ranks within a length come from counts per (length, salt) and a row number within each such group of about ``SALTED``
+    rows, so a length that very many pieces share is ranked by many tasks. Full pieces get sequences of their own (below 0).
     """
     spark = pieces.sparkSession
-    order = [F.xxhash64(*pieces.columns)] + [F.col(c) for c in pieces.columns if c != "ids"]
-    total = pieces.groupBy("length").count().collect()  # at most `capacity` rows
-    biggest = max((r["count"] for r in total), default=0)
-    salts = max(1, biggest // 200, min(256, biggest // 16))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "ids"]), F.lit(salts)).cast("int"))
-    by_length = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = salted.groupBy("length", "_salt").count().withColumn("_first", F.coalesce(F.sum("count").over(by_length), F.lit(0))).drop("count")
-    ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
-    ranked = ranked.join(firsts, ["length", "_salt"]).withColumn("_rank", F.col("_row") + F.col("_first"))
-    plan = slots(best_two_fit({r["length"]: r["count"] for r in total}, capacity))
+    total = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    if any(n < 1 or n > capacity for n in total):
+        raise ValueError("a length is outside 1 to the capacity")
+    plan = slots(best_two_fit({n: c for n, c in total.items() if n < capacity}, capacity))
     # the plan has at most one row for each slot of at most `capacity` patterns: arrays of starts, searched by rank
     by: dict[int, list] = {}
     for n, first, times, sequence, offset in plan:
         by.setdefault(n, []).append((first, sequence, offset))
-    rows = [(n, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for n, v in by.items()]
-    where = spark.createDataFrame(rows, "length bigint, _firsts array<bigint>, _sequences array<bigint>, _offsets array<bigint>")
+    rows = [(n, 1 + total[n] // SALTED, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for n, v in by.items()]
+    where = spark.createDataFrame(rows, "length bigint, _salts bigint, _firsts array<bigint>, _sequences array<bigint>, _offsets array<bigint>")
+    own = [c for c in pieces.columns if c != "ids"]
+    salted = pieces.filter(F.col("length") < capacity).join(F.broadcast(where.select("length", "_salts")), "length").withColumn("_salt", F.pmod(F.xxhash64(*own), F.col("_salts")))
+    by_length = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = salted.groupBy("length", "_salt").count().withColumn("_first", F.coalesce(F.sum("count").over(by_length), F.lit(0))).drop("count")
+    ranked = salted.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*own)) - 1)
+    ranked = ranked.join(firsts, ["length", "_salt"]).withColumn("_rank", F.col("_row") + F.col("_first"))
     slot = F.size(F.filter("_firsts", lambda x: x <= F.col("_rank")))
-    placed = ranked.join(F.broadcast(where), "length").withColumn("_slot", slot)
+    placed = ranked.join(F.broadcast(where.drop("_salts")), "length").withColumn("_slot", slot)
     at = lambda c: F.element_at(c, F.col("_slot"))
-    return placed.select(*pieces.columns, (at("_sequences") + F.col("_rank") - at("_firsts")).alias("sequence_id"), at("_offsets").alias("offset"))
+    placed = placed.select(*pieces.columns, (at("_sequences") + F.col("_rank") - at("_firsts")).alias("sequence_id"), at("_offsets").alias("offset"))
+    full = pieces.filter(F.col("length") == capacity).select(*pieces.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    return placed.unionByName(full)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

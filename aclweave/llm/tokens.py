@@ -25,12 +25,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The process's own encoder, kept with its memo from task to task for as long as the Python worker is reused."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 class Encoder:
     """Whole texts to little-endian unsigned 32-bit ids, as ``Tokenizer.encode(text, add_special_tokens=False)`` has them.
 
     Where the vocabulary's rules cut texts into independent pieces (checked on its own settings) and a text is plain Latin,
-    the pieces are cut here and each piece's ids are kept in a memo of about ``memo`` entries. Any other text, and any
-    other vocabulary, goes through the library whole.
+    the pieces are cut here and each piece's ids are kept in a memo of about ``memo`` entries. Any other text (one with the
+    literal of an added token, say), and any other vocabulary, goes through the library whole.
     """
 
     def __init__(self, path: str, memo: int = 400_000):
@@ -38,7 +48,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         rules = json.loads(self.whole.to_str())
         steps = [s.get("pattern", {}).get("Regex", s["type"]) for s in (rules["normalizer"] or {}).get("normalizers", [])]
         cuts = [s.get("pattern", {}).get("Regex", s["type"]) for s in (rules["pre_tokenizer"] or {}).get("pretokenizers", [])]
@@ -49,6 +58,7 @@ class Encoder:
             letters, numbers = ("".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == k) for k in "LN")
             self.cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+").findall
             self.latin = re.compile("[\t-\r\x20-\u012f\u0131-\u024f]*").fullmatch
+            self.added = re.compile("|".join(re.escape(x["content"].lower()) for x in rules["added_tokens"]) or "(?!)").search
             self.limit, self.memo, self.letters = memo, {}, _byte_letters()
             rules["pre_tokenizer"], rules["normalizer"], rules["post_processor"] = {"type": "WhitespaceSplit"}, None, None
             self.plain = Tokenizer.from_str(json.dumps(rules))
@@ -75,7 +85,8 @@ class Encoder:
             return [self._whole(t or "") for t in texts]
         out = []
         for i in range(0, len(texts), 32):
-            some = [self.cut(t.lower()) if t and self.latin(t) else None for t in texts[i : i + 32]]
+            lower = [t.lower() if t and self.latin(t) else None for t in texts[i : i + 32]]
+            some = [self.cut(t) if t and not self.added(t) else None for t in lower]
             miss = set().union(*(p for p in some if p)).difference(self.memo)
             if miss:
                 if len(self.memo) > self.limit:

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -17,13 +18,12 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(default_vocabulary())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoder_is_the_library(plain):
     rng = random.Random(2)
-    odd = ["a\x1cb  É'S don't 12ab İx Σας ΣΑΣ \u0301e ﬁ 日本語 é <|endoftext|> \x85\xa0x", "", None, " \n", "x" * 5000, "naïve—dash 'll's"]
+    odd = ["a\x1cb  É'S don't 12ab İx Σας ΣΑΣ \u0301e ﬁ 日本語 é <|endoftext|> \x85\xa0x", "hello <|endoftext|> world", "HELLO <|ENDOFTEXT|><|startoftext|>", "", None, " \n", "x" * 5000, "naïve—dash 'll's"]
     odd += ["".join(chr(rng.choice([rng.randrange(32, 0x250), rng.randrange(0x250, 0x3000), 32, 39, 0x301])) for _ in range(60)) for _ in range(200)]
     for memo in (50, 400_000):
         assert [np.frombuffer(b, "<u4").tolist() for b in Encoder(default_vocabulary(), memo)(odd)] == [plain(t) for t in odd]
@@ -60,9 +60,41 @@ def test_token_files_odd_rows(spark, odd, nothing):
     assert tokenfile.read_documents(tokenfile.write_shards(nothing, default_vocabulary())).count() == 0
 
 
+def test_single_ids_are_read_from_the_file(spark, plain, tmp_path):
+    """A token id costs a few short reads at its place, whatever the shard's size."""
+    want = [i for r in sorted(table(spark, DIR, "documents").collect(), key=lambda r: r.doc_id) for i in plain(r.text) + [2]]
+    shards = tokenfile.write_shards(table(spark, DIR, "documents"), default_vocabulary(), shard_ids=20_000, path=f"file://{tmp_path}/shards")
+    at, seen = {}, 0
+    for r in shards.drop("payload").collect():
+        at[r.part] = at.get(r.part, 0) + r.n_ids
+    for name in sorted((tmp_path / "shards").glob("*.parquet")):
+        with open(name, "rb") as file:
+            rows = pq.read_table(name, columns=["part", "first", "n_ids"]).to_pylist()
+            places = list(tokenfile.payload_places(file))
+            assert len(places) == len(rows)
+            for row, (offset, _) in zip(rows, places, strict=True):
+                reads = []
+
+                def read(a, n, file=file, offset=offset, reads=reads):
+                    reads.append(n)
+                    file.seek(offset + a)
+                    return file.read(n)
+
+                reader = tokenfile.Reader(read)
+                start = row["first"] + sum(n for p, n in at.items() if p < row["part"])
+                for i in range(0, row["n_ids"], 997):
+                    reads.clear()
+                    assert reader[i] == want[start + i]
+                    assert sum(reads) < 300
+                seen += 1
+    assert seen > 5
+
+
 def test_best_two_fit():
     # greedy takes 6, then 3; the two 2s fill the gap of 4 better than 3
     assert packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)[0] == ([6, 2, 2], 1)
+    # a bin of one: 7 leaves a gap that nothing fits, 6 and 4 fill the whole of it
+    assert packing.best_two_fit({7: 1, 6: 1, 4: 1}, 10)[0] == ([4, 6], 1)
     rng = random.Random(8)
     for cap in (10, 100, 2048):
         counts = Counter(min(cap, int(rng.lognormvariate(4, 1)) + 1) for _ in range(3000))
