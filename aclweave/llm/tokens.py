@@ -25,16 +25,6 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def worker_encoder(path: str) -> Encoder:
-    """The process's own encoder, kept with its memo from task to task for as long as the Python worker is reused."""
-    import tokenizers
-
-    kept = vars(tokenizers).setdefault("_kept_encoders", {})
-    if path not in kept:
-        kept[path] = Encoder(path)
-    return kept[path]
-
-
 class Encoder:
     """Whole texts to little-endian unsigned 32-bit ids, as ``Tokenizer.encode(text, add_special_tokens=False)`` has them.
 
