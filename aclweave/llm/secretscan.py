@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import arrow_pass, saved, table
+from .base import Cover, arrow_pass, saved, table
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -230,15 +230,10 @@ def fit(docs: DataFrame) -> Writing:
 
 def found_in(text: str, writing: Writing) -> tuple[list, list]:
     """Base spans; candidates (start, end, band, bin)."""
-    base, cands, at = base_spans(text), [], 0
-    for m in _CODE.finditer(text):
-        word, s, e = m.group(), m.start(), m.end()
-        while at < len(base) and base[at][2] <= s:
-            at += 1
-        if any(b[0] < e and b[2] > s for b in base[at : at + 3]) or any(b[0] < e and b[2] > s for b in base):
-            continue
-        cands.append((s, e, band(len(word)), writing.bin(word)))
-    return base, cands
+    base = base_spans(text)
+    cover = Cover((s, e) for s, _, e in base)
+    free = (m for m in _CODE.finditer(text) if not cover.touches(m.start(), m.end()))
+    return base, [(m.start(), m.end(), band(m.end() - m.start()), writing.bin(m.group())) for m in free]
 
 
 def thresholds(null: dict[int, int], cands: dict[int, int], rate: float = RATE) -> dict[int, int]:
@@ -338,7 +333,6 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by ``mark`` (and n_chars counted anew, where there is such a column)."""
     writing = fit(docs)
     low = _lowest(_found(docs, writing))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def clean(text: str | None) -> str | None:
         base, cands = found_in(text or "", writing)
@@ -360,7 +354,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
         return run
 
-    return arrow_pass(docs, make, schema, rows=256)
+    return arrow_pass(docs, make, docs.schema, rows=256)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +146,47 @@ def test_odd_rows(spark, odd, nothing):
     assert (1, None) in redacted and (4, "word") in redacted and ("[SECRET]" in dict(redacted)[10]) and "hunter22" not in dict(redacted)[10]
     assert secretscan.redact(nothing).count() == 0 and secretscan.redact(odd).columns == odd.columns
     assert pii.sanitise(odd).count() == odd.count()
+
+
+def test_long_runs_end_soon():
+    """A megabyte of one separator, digit or letter, alone and beside what starts a pattern, takes about as long as reading it."""
+    writing = secretscan.Writing(np.full(776, 1000))
+    texts = [c * 1_000_000 for c in "xA1-=. @+f_/"] + ["1." * 500_000, "a@" * 500_000, "1.1.1.1 " * 20_000, "token = " * 60_000, "token=abcdefg " * 40_000 + "x" * 40, "a@b.c " + "x" * 500_000 + " " + "1" * 500_000 + ".", "-" * 60 + "Section2", "=" * 40 + "x1"]
+    for t in texts:
+        began = time.process_time()
+        spans = pii.base_spans(t)
+        pii.contexts(t, spans)
+        secretscan.found_in(t, writing)
+        assert time.process_time() - began < 4, t[:20]
+
+
+def test_scans_are_the_patterns():
+    """The linear scans find what the patterns of the contract find."""
+    rng = random.Random(3)
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    for _ in range(20_000):
+        t = "".join(rng.choice("ab1.@-_ 2+") for _ in range(rng.randint(0, 40)))
+        assert list(pii.emails(t)) == [m.span() for m in email.finditer(t)]
+        assert [m.span() for m in pii._IP.finditer(t)] == [m.span() for m in ip.finditer(t)]
+
+
+def test_secrets_planted_in_documents(spark):
+    """Random strings of several encodings and lengths among real documents: most are found, few other runs are."""
+    rng = random.Random(21)
+    alphabets = {"base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "HEX": "0123456789ABCDEF", "lower36": "abcdefghijklmnopqrstuvwxyz0123456789"}
+    docs, want = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").collect()], {}
+    for k, (name, alphabet) in enumerate(alphabets.items()):
+        for n in (24, 32, 48, 64):
+            for i in range(12):
+                secret = "".join(rng.choice(alphabet) for _ in range(n))
+                doc_id, host = 10**6 + 10_000 * k + 100 * n + i, docs[rng.randrange(150)][1]
+                want[doc_id] = (name, n, len(host) + 1)
+                docs.append((doc_id, f"{host} {secret} end"))
+    got = {r.doc_id: [x for x in r.all if x.kind == 3] for r in secretscan.scan(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    hit = {d for d, (_, n, at) in want.items() if any(x.start <= at and x.end >= at + n for x in got[d])}
+    assert len(hit) >= 0.9 * len(want)
+    for name in alphabets:
+        own = [d for d, w in want.items() if w[0] == name]
+        assert len([d for d in own if d in hit]) >= 0.8 * len(own), name
+    false = sum(len(v) for v in got.values()) - len(hit)
+    assert false <= 0.1 * len(hit)
