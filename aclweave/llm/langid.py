@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_pass, is_held_out, saved, table
+from .base import arrow_pass, is_held_out, saved, table, with_fields
 
 ORDER, SAMPLE, DEVIATIONS = 5, 1500, 8.0
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -162,15 +162,21 @@ class Models:
         if len(want):
             self.temperature = min((0.01 * 1.5**i for i in range(14)), key=loss)
         right = entropy.argmin(axis=1) == want if len(want) else np.zeros(0, bool)
-        for j, lang in enumerate(self.langs):
-            use = right & (want == j)
-            own, m = entropy[use, j], n[use]
-            if len(own) < 5:
-                continue
+        low = entropy.min(axis=1) if len(want) else np.zeros(0)
+
+        def limit(use: np.ndarray) -> tuple[float, float, float]:
+            own, m = low[use], n[use]
             mean = float(np.average(own, weights=m))
             a = np.stack([np.ones(len(own)), 1 / m], axis=1)
             spread, _, _, _ = np.linalg.lstsq(a, (own - mean) ** 2, rcond=None)
-            self.limits[lang] = (mean, max(float(spread[0]), 1e-3), max(float(spread[1]), 1.0))
+            return mean, max(float(spread[0]), 1e-3), max(float(spread[1]), 1.0)
+
+        pooled = limit(right) if right.sum() >= 5 else None
+        for j, lang in enumerate(self.langs):
+            use = right & (want == j)
+            own = limit(use) if use.sum() >= 5 else pooled  # a language of few rows is held to all languages' limit
+            if own:
+                self.limits[lang] = own
 
     def judge(self, texts: list[str | None], letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Predictions, scores, cross-entropies, rejections."""
@@ -194,14 +200,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models:
     spark = labelled.sparkSession
     shares = spark.createDataFrame([(r["lang"], min(1.0, sample / r["count"])) for r in sizes], "lang string, _share double")
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.join(F.broadcast(shares), "lang").withColumn("_place", place / F.col("_share")).filter("_place < 1")
+    # rows that repeat id and text are one to learn from
+    chosen = rows.join(F.broadcast(shares), "lang").withColumn("_place", place / F.col("_share")).filter("_place < 1").dropDuplicates(["lang", "_place"])
+    # ranked within the language (about `sample` rows): four of five teach, and at least one does
+    whole, ranked = Window.partitionBy("lang"), Window.partitionBy("lang").orderBy("_place")
+    chosen = chosen.withColumn("_teaches", F.row_number().over(ranked) <= F.ceil(0.8 * F.count("*").over(whole)))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf[pdf["_place"] < 0.8]
+        own = pdf[pdf["_teaches"]]
         out = _counts(list(own["text"]))
         return pd.DataFrame([{"lang": pdf["lang"].iloc[0], "k": k, **dict(zip("abcd", (x.astype("<u8").tobytes() for x in got), strict=True))} for k, got in enumerate(out)])
 
-    chosen = saved(chosen.select("lang", "text", "_place"), "sample")
+    chosen = saved(chosen.select("lang", "text", "_teaches"), "sample")
     counts: dict = {}
     for r in chosen.groupBy("lang").applyInPandas(count, "lang string, k int, a binary, b binary, c binary, d binary").collect():
         counts.setdefault(r["lang"], [None] * ORDER)[r["k"]] = tuple(np.frombuffer(r[x], "<u8") for x in "abcd")
@@ -219,7 +229,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Models:
                 e, n = models.cross_entropy(list(some["text"]), letters)
                 yield pd.DataFrame({"lang": some["lang"].values, "n": n, "e": list(e)})
 
-    held = chosen.filter("_place >= 0.8").filter(F.col("lang").isin(models.langs))
+    held = chosen.filter("NOT _teaches").filter(F.col("lang").isin(models.langs))
     got = [r for r in held.mapInPandas(measure, "lang string, n bigint, e array<double>").collect() if r["n"] > 0]
     if got:
         models.calibrate(np.array([r["e"] for r in got]), np.array([r["n"] for r in got]), [r["lang"] for r in got])
@@ -240,8 +250,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
         return run
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return arrow_pass(base, make, f"{schema}, lang_pred string, score double, cross_entropy double, rejected boolean", rows=64)
+    return arrow_pass(base, make, with_fields(base.schema, "lang_pred string, score double, cross_entropy double, rejected boolean"), rows=64)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
