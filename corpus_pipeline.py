@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages over ``documents``; each works on what its predecessor kept.
 
 Stages: language identification (texts that follow no learnt language, and those without letters, go), near duplicates (of
-each group of linked documents the one with the smallest doc_id stays), benchmark decontamination (documents that leak an
+each group of linked documents the one with the smallest doc_id stays, row by row, so rows may repeat a doc_id or lack one), benchmark decontamination (documents that leak an
 item go), secrets (spans are replaced by a mark), packing into sequences of 2,048 tokens.
 
 Nulls, empty and very long texts, repeated rows and empty tables are treated as each operator defines. Rows that repeat both
@@ -23,10 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard.join_components(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    return jaccard.keep_first(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
