@@ -53,3 +53,13 @@ def test_the_rest_stands_alone(tmp_path):
     root = corpus_pipeline.__file__.rpartition("/")[0]
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
     assert np.isfinite(1.0)
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    """A row goes for its own text: a doc_id that stays with one text doesn't keep another, and null ids aren't one row."""
+    a, b, c = "one two three four five six seven", "other words stand here and nothing else", "third text of quite some other words"
+    rows = [(3, a, 1), (7, b, 2), (7, a, 3), (None, a, 4), (None, b, 5), (None, c, 6), (None, c, 7), (9, "", 8), (9, None, 9), (9, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _key int")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, DIR).collect()}
+    assert got == {(3, a), (7, b), (None, c), (9, ""), (9, None)}
+    assert corpus_pipeline.near_duplicates(spark, docs, DIR).count() == len(got)
