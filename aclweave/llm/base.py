@@ -66,7 +66,7 @@ def slices(batch: pa.RecordBatch, rows: int, size: int = SLICE_BYTES) -> Iterato
         start = end
 
 
-def arrow_pass(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | StructType, rows: int = 512) -> DataFrame:
+def arrow_pass(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | StructType, rows: int = 512, size: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow in slices of at most ``rows`` rows and some megabytes of text, so that memory stays bounded.
 
     make() runs once a task and returns a function from columns (lists) to columns (lists or arrays).
@@ -77,7 +77,7 @@ def arrow_pass(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in slices(batch, rows):
+            for part in slices(batch, rows, size):
                 out = fn({n: part.column(k).to_pylist() for k, n in enumerate(part.schema.names)})
                 if out is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)

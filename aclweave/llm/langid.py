@@ -52,36 +52,35 @@ def codes_of(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([*starts, at])
 
 
-def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
+def gram_hashes(codes: np.ndarray, last_order: int = ORDER) -> Iterator[np.ndarray]:
     """For each order k from 1, the hash of the k-gram that ends at each place (the first k - 1 places are void)."""
     with np.errstate(over="ignore"):
         one = codes.astype(np.uint64) * _PRIME + np.uint64(1)
         one ^= one >> np.uint64(29)
-        out = [one]
-        for _ in range(ORDER - 1):
-            last = np.concatenate((np.zeros(1, np.uint64), out[-1][:-1]))
-            out.append(one + last * np.uint64(0xD6E8FEB86659FD93))
-    return out
+    own = one
+    for k in range(last_order):
+        if k:
+            with np.errstate(over="ignore"):
+                own = one + np.concatenate((np.zeros(1, np.uint64), own[:-1])) * np.uint64(0xD6E8FEB86659FD93)
+        yield own
 
 
 def _counts(texts: list[str]) -> list[tuple[np.ndarray, ...]]:
     """Of each order: n-grams, their suffixes, their contexts, and Kneser-Ney counts (of places, below the top of distinct left neighbours)."""
     codes, starts = codes_of(texts, letter_table())
-    hashes = gram_hashes(codes)
     real = np.ones(len(codes), bool)
     for k in range(ORDER - 1):
         real[starts[:-1] + k] = False
     places = np.flatnonzero(real)
-    out, above = [], None
-    for k in range(ORDER, 0, -1):
-        if above is None:
-            grams, at, n = np.unique(hashes[k - 1][places], return_index=True, return_counts=True)
-            at = places[at]
-        else:  # each distinct longer n-gram gives its suffix one count
-            grams, first, n = np.unique(hashes[k - 1][above], return_index=True, return_counts=True)
-            at = above[first]
-        lower = hashes[k - 2] if k > 1 else np.zeros(len(codes), np.uint64)
-        out.append((grams, lower[at] if k > 1 else np.zeros(len(at), np.uint64), lower[at - 1] if k > 1 else np.zeros(len(at), np.uint64), n))
+    out, above = [], places
+    for k in range(ORDER, 0, -1):  # each distinct longer n-gram gives its suffix one count
+        lower = own = None
+        for h in gram_hashes(codes, k):  # only two orders' hashes are held
+            lower, own = own, h
+        grams, first, n = np.unique(own[above], return_index=True, return_counts=True)
+        at = above[first]
+        none = np.zeros(len(at), np.uint64)
+        out.append((grams, none, none, n) if k == 1 else (grams, lower[at], lower[at - 1], n))
         above = at
     return out[::-1]
 
@@ -128,7 +127,7 @@ class Models:
     def cross_entropy(self, texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each text its cross-entropy a character by each language (0 without letters), and the number of characters."""
         codes, starts = codes_of(texts, letters)
-        hashes = gram_hashes(codes)
+        hashes = list(gram_hashes(codes))
         sums = np.zeros((len(codes), len(self.langs)), np.float32)
         left = np.arange(ORDER - 1, len(codes))
         for k in range(ORDER, 0, -1):
@@ -250,7 +249,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
         return run
 
-    return arrow_pass(base, make, with_fields(base.schema, "lang_pred string, score double, cross_entropy double, rejected boolean"), rows=64)
+    return arrow_pass(base, make, with_fields(base.schema, "lang_pred string, score double, cross_entropy double, rejected boolean"), rows=64, size=1_000_000)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
