@@ -29,6 +29,8 @@ from .base import arrow_pass, is_held_out, saved, table, with_fields
 ORDER, SAMPLE, DEVIATIONS = 5, 1500, 8.0
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = 32
+#: Characters whose n-grams are counted at once.
+COUNTED = 500_000
 
 
 def letter_table() -> np.ndarray:
@@ -52,13 +54,13 @@ def codes_of(texts: list[str], letters: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.array([*starts, at])
 
 
-def gram_hashes(codes: np.ndarray, last_order: int = ORDER) -> Iterator[np.ndarray]:
+def gram_hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
     """For each order k from 1, the hash of the k-gram that ends at each place (the first k - 1 places are void)."""
     with np.errstate(over="ignore"):
         one = codes.astype(np.uint64) * _PRIME + np.uint64(1)
         one ^= one >> np.uint64(29)
     own = one
-    for k in range(last_order):
+    for k in range(ORDER):
         if k:
             with np.errstate(over="ignore"):
                 own = one + np.concatenate((np.zeros(1, np.uint64), own[:-1])) * np.uint64(0xD6E8FEB86659FD93)
@@ -67,21 +69,29 @@ def gram_hashes(codes: np.ndarray, last_order: int = ORDER) -> Iterator[np.ndarr
 
 def _counts(texts: list[str]) -> list[tuple[np.ndarray, ...]]:
     """Of each order: n-grams, their suffixes, their contexts, and Kneser-Ney counts (of places, below the top of distinct left neighbours)."""
-    codes, starts = codes_of(texts, letter_table())
-    real = np.ones(len(codes), bool)
-    for k in range(ORDER - 1):
-        real[starts[:-1] + k] = False
-    places = np.flatnonzero(real)
-    out, above = [], places
-    for k in range(ORDER, 0, -1):  # each distinct longer n-gram gives its suffix one count
-        lower = own = None
-        for h in gram_hashes(codes, k):  # only two orders' hashes are held
-            lower, own = own, h
-        grams, first, n = np.unique(own[above], return_index=True, return_counts=True)
-        at = above[first]
-        none = np.zeros(len(at), np.uint64)
-        out.append((grams, none, none, n) if k == 1 else (grams, lower[at], lower[at - 1], n))
-        above = at
+    letters, kept, n, at = letter_table(), np.zeros((2 * ORDER - 1, 0), np.uint64), np.zeros(0), 0
+    while at < len(texts):  # some texts at a time; what is held are the distinct n-grams
+        end, chars = at + 1, len(texts[at])
+        while end < len(texts) and chars + len(texts[end]) < COUNTED:
+            chars, end = chars + len(texts[end]), end + 1
+        codes, starts = codes_of(texts[at:end], letters)
+        real = np.ones(len(codes), bool)
+        for k in range(ORDER - 1):
+            real[starts[:-1] + k] = False
+        places, hashes = np.flatnonzero(real), list(gram_hashes(codes))[::-1]
+        _, first, times = np.unique(hashes[0][places], return_index=True, return_counts=True)
+        where = places[first]
+        # of each n-gram of the top order: its own hash and its suffixes', then those of the n-grams before its last character
+        both = np.concatenate((kept, np.stack([h[where] for h in hashes] + [h[where - 1] for h in hashes[1:]])), axis=1)
+        _, first, inverse = np.unique(both[0], return_index=True, return_inverse=True)
+        kept, n, at = both[:, first], np.bincount(inverse, np.concatenate((n, times))), end
+    out = []
+    for j in range(ORDER):  # each distinct longer n-gram gives its suffix one count
+        if j:
+            _, first, n = np.unique(kept[j], return_index=True, return_counts=True)
+            kept = kept[:, first]
+        none = np.zeros(kept.shape[1], np.uint64)
+        out.append((kept[j], none, none, n) if j == ORDER - 1 else (kept[j], kept[j + 1], kept[ORDER + j], n))
     return out[::-1]
 
 
