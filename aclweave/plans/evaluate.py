@@ -31,6 +31,8 @@ from .cut import stored
 from .strata import Node, recursive, strata, uses
 
 PAIR = "seed_id bigint, object_id string"
+#: Rounds of a fixpoint whose tables are read one by one before they become one.
+MERGED = 8
 
 
 class Evaluator:
@@ -223,7 +225,7 @@ class Evaluator:
         linear = all(self.linear(n) for n in group)
         rewrites = {n: self.model.relation(*n).rewrite for n in group}
         known = {n: stored(self.rule(n, rewrites[n], outer, upper).distinct()) for n in group}
-        fresh = dict(known)
+        fresh, n_rounds = dict(known), 0
         while self.rounds:
             after = {}
             for n in group:
@@ -233,10 +235,16 @@ class Evaluator:
             fresh = {n: a for n, a in after.items() if not a.isEmpty()}
             if not fresh:
                 break
-            for n, a in fresh.items():
-                known[n] = known[n].unionByName(a)
+            n_rounds += 1
+            known = self.grown(known, fresh, n_rounds)
         self.answers[upper].update(known)
 
+    @staticmethod
+    def grown(known: dict[Node, DataFrame], fresh: dict[Node, DataFrame], n_rounds: int) -> dict[Node, DataFrame]:
+        """``known`` with a round's new pairs; every MERGED rounds written as one table, so that deep graphs keep short plans."""
+        out = known | {n: known[n].unionByName(a) for n, a in fresh.items()}
+        return out if n_rounds % MERGED else {n: stored(a) for n, a in out.items()}
+
     # demand
 
     def find_demand(self, requested: dict[Node, DataFrame]) -> None:
@@ -249,7 +257,7 @@ class Evaluator:
             known: dict[Node, DataFrame] = {}
             if recursive(self.model, group):
                 known = {n: stored(d if d is not None else self.none()) for n, d in own.items()}
-                fresh = dict(known)
+                fresh, n_rounds = dict(known), 0
                 while fresh:
                     asked: dict[Node, list[DataFrame]] = {}
                     for n, d in fresh.items():
@@ -257,8 +265,8 @@ class Evaluator:
                             asked.setdefault(m, []).append(pairs)
                     after = {m: stored(functools.reduce(DataFrame.unionByName, p).distinct().join(known[m], ["seed_id", "object_id"], "left_anti")) for m, p in asked.items()}
                     fresh = {m: d for m, d in after.items() if not d.isEmpty()}
-                    for m, d in fresh.items():
-                        known[m] = known[m].unionByName(d)
+                    n_rounds += 1
+                    known = self.grown(known, fresh, n_rounds)
                 own = known
             for n in group:
                 # asked for by several others and read more than once: kept, but for the requested pairs, which are kept already
@@ -321,32 +329,6 @@ class DirectEvaluator(Evaluator):
     def __init__(self, model: Model, tuples: DataFrame | Relations, seeds: DataFrame):
         super().__init__(model, tuples, seeds, None, True)
 
-    def conditional(self, type_: str, relation: str) -> bool:
-        """Whether any tuple of a relation names a condition."""
-        named = F.col("condition_name").isNotNull()
-        if isinstance(self.tuples, Relations) and self.contextual is None:
-            if (type_, relation) not in self._conditional:
-                self._conditional[type_, relation] = not self.tuples.rows(type_, relation).filter(named).isEmpty()
-            return self._conditional[type_, relation]
-        if self._named is None:
-            frames = [self.tuples.all() if isinstance(self.tuples, Relations) else self.tuples] + ([] if self.contextual is None else [self.contextual])
-            own = [df.filter(named).select("object_type", "relation") for df in frames]
-            known = [f"{t}#{r}" for t, rs in self.model.types.items() for r in rs]  # at most the model's relations
-            self._named = {(r[0], r[1]) for r in functools.reduce(DataFrame.unionByName, own).filter(F.concat_ws("#", "object_type", "relation").isin(known)).distinct().collect()}
-        return (type_, relation) in self._named
-
-    def mixed(self, groups: list[list[Node]]) -> set[Node]:
-        """The relations whose lower and upper answers may differ: a tuple that they read, or one below, has a condition."""
-        out: set[Node] = set()
-        for group in groups:
-            for n in group:
-                rules = list(walk(self.model.relation(*n).rewrite))
-                own = any(isinstance(r, This) for r in rules) and self.conditional(*n)
-                own = own or self.link_conditions and any(isinstance(r, FromParent) and self.conditional(n[0], r.tupleset) for r in rules)
-                if own or any(m in out for m, _ in uses(self.model, n)):
-                    out.update(group)
-        return out
-
     def allowed(self, types: list[TypeRef], rows: DataFrame) -> DataFrame:
         return rows
 

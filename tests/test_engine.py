@@ -170,6 +170,16 @@ def test_demand_reads_only_what_is_asked(spark, stored):
     assert out.count() == 1
 
 
+def test_deep_groups_whose_rounds_are_merged(spark, monkeypatch):
+    monkeypatch.setattr("aclweave.plans.evaluate.MERGED", 2)
+    model = parse_dsl("type user\ntype group\n  relations\n    define member: [user, group#member]\n")
+    rows = from_text(spark, [("user:a", "member", "group:0")] + [(f"group:{i}#member", "member", f"group:{i + 1}") for i in range(6)])
+    asked = spark.createDataFrame([(i, "user:a", "member", f"group:{i}") for i in range(8)], "request_id bigint, user string, relation string, object string")
+    assert {r.request_id for r in batch_check(model, rows, asked).filter("allowed").collect()} == set(range(7))
+    found = list_objects(model, rows, asked.filter("request_id = 0"), "member", "group")
+    assert {r.object_id for r in found.collect()} == {str(i) for i in range(7)}
+
+
 def test_a_failing_or_unknown_condition_never_grants(spark):
     model = parse_dsl("""
 type user

@@ -84,6 +84,21 @@ def test_changes_and_replays(spark):
     assert {tuple(r) for r in late.filter("live").select(*key).collect()} == {tuple(r) for r in whole.select(*key).collect()}
 
 
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    log = change_log(spark, "/root/testdata/sf0.001").select(*tuples.COLUMNS, "operation", "changed_at", "seq")
+    one = log.orderBy("changed_at", "seq").limit(1)
+    rest = log.join(one.select("seq"), "seq", "left_anti")
+    table = TupleTable(spark, f"file://{tmp_path}/current", buckets=8)
+    table.upsert(rest, 0)
+    for _ in range(2):  # a replay writes the same again
+        table.upsert(one, 1)
+        key = ["object_id", "user_id", "seq"]
+        assert {tuple(r) for r in table.version(1).filter("live").select(*key).collect()} == {tuple(r) for r in changes.state(log).select(*key).collect()}
+    assert [p.name[:6] for p in (tmp_path / "current/data/v1").glob("bucket=*")] == ["bucket"]
+    table.upsert(one.limit(0), 2)
+    assert table.version(2).count() == table.version(1).count() >= table.version(0).count()
+
+
 def test_table_layout_prunes(spark, tmp_path):
     df = from_text(spark, [("user:a", "viewer", "doc:1"), ("user:a", "viewer", "folder:1")])
     tuples.write_table(df, str(tmp_path / "t"))
