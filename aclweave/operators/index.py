@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model.ast import Model
+from ..plans.cut import stored
 from ..sources.tuples import format_user, with_columns
 from .listing import list_objects
 
@@ -20,6 +21,6 @@ def materialise(model: Model, tuples: DataFrame, nodes: list[tuple[str, str]], u
     if users is None:
         named = with_columns(tuples).filter(F.col("user_relation").isNull() & (F.col("user_id") != "*"))
         users = named.select(format_user(F.col("user_type"), F.col("user_id"), F.col("user_relation")).alias("user")).distinct()
-    asked = users.select(F.col("user").alias("request_id"), "user")
+    asked = stored(users.select(F.col("user").alias("request_id"), "user"))
     parts = [list_objects(model, tuples, asked, r, t).select(F.lit(t).alias("object_type"), F.lit(r).alias("relation"), "object_id", F.col("request_id").alias("user")) for t, r in nodes]
     return functools.reduce(DataFrame.unionByName, parts)

@@ -201,3 +201,24 @@ condition c(l: list<int>) {
     plain = parse_dsl("type user\ntype doc\n relations\n define owner: [user]\n define blocked: [user]\n define can: owner but not blocked")
     q = spark.createDataFrame(ask(None), "request_id int, user string, relation string, object string, context string")
     assert {r.request_id: (r.allowed, r.error) for r in batch_check(plain, rows, q).collect()} == {0: (False, "condition failed"), 1: (False, "condition failed"), 2: (True, None)}
+
+
+def test_users_of_equal_tuples_are_evaluated_once(spark, monkeypatch):
+    from aclweave.operators import listing
+
+    model = parse_dsl("type user\ntype group\n relations\n define member: [user, user:*, group#member]\ntype doc\n relations\n define owner: [user with c]\n define parent: [group]\n define viewer: owner or member from parent\ncondition c(n: int) { n == 1 }")
+    rows = from_text(spark, [(f"user:{i}", "member", f"group:{i % 2}") for i in range(40)] + [("group:0#member", "member", "group:1")] + [(f"group:{i % 2}", "parent", f"doc:{i}") for i in range(6)] + [("user:1", "owner", "doc:0", "c"), ("user:*", "member", "group:w"), ("group:w", "parent", "doc:w")])
+    q = spark.createDataFrame([(i, f"user:{i}", '{"n":1}' if i == 1 else None) for i in range(40)] + [(40, "user:none", None), (41, "user:*", None), (42, "user:3", None)], "request_id int, user string, context string")
+    want = {(i, d) for i in range(42) if i < 40 for d in ("1", "3", "5")} | {(i, d) for i in range(0, 40, 2) for d in ("0", "2", "4")} | {(i, "w") for i in [*range(41), 42]} | {(1, "0")} | {(42, d) for d in ("1", "3", "5")}
+    seen, run = [], listing.Evaluator.run
+    monkeypatch.setattr(listing.Evaluator, "run", lambda self, *a: (seen.append(self.seeds.count()), run(self, *a))[1])
+    got = [tuple(r) for r in list_objects(model, rows, q, "viewer", "doc").collect()]
+    assert (len(got), set(got)) == (len(want), want)
+    assert seen == [4]  # members of either group, user 1 with its own tuple and context, and users whom no tuple names
+    monkeypatch.setattr(listing, "SIDE", 3)
+    monkeypatch.setattr(listing, "DEALT", 0)
+    monkeypatch.setattr(listing, "NAMED", 1)
+    own = from_text(spark, [("user:3", "member", "group:0")]).withColumn("request_id", F.lit(42))
+    got = [tuple(r) for r in list_objects(model, rows, q, "viewer", "doc", contextual=own).collect()]
+    want |= {(42, d) for d in ("0", "2", "4")}
+    assert (len(got), set(got)) == (len(want), want)
