@@ -11,8 +11,8 @@ common subsequence of the item's and the region's words covers ``ALIKE`` of the
 and ``RARER`` of its rarer words (below a tenth of the documents; without such words, ``LOOSE`` of its idf), with the whole
 answer kept in order (column ``answer``, else the item's last quarter).
 
-Bounds: the basis is fitted on about ``SAMPLE`` documents, chosen by a hash over all; benchmark text of more than
-``BLOCK_CHARS`` characters is searched in several blocks, since each block's passages go to every task.
+Bounds: the basis is fitted on all documents; benchmark text of more than ``BLOCK_CHARS`` characters is searched in several
+blocks, since each block's passages go to every task.
 
 Defined results: null or empty texts and items match nothing; words differ neither by case nor by ASCII
 punctuation; repeated items and rows are matched each; further columns are ignored; empty tables give no rows.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .base import arrow_pass, saved, slices, table
 
-RANK, EXTRA, CELLS, SAMPLE, BLOCK_CHARS = 64, 8, 2048, 20_000, 4_000_000
+RANK, EXTRA, CELLS, BLOCK_CHARS = 64, 8, 2048, 4_000_000
 COSINE, ALIKE, LOOSE, RARER = 0.5, 0.75, 0.6, 0.4
 STEP, SCALES, LONGEST = 8, (3, 4, 6, 8), 56
 RESULT = "doc_id bigint, item_id bigint, common double, answer double"
@@ -116,7 +116,7 @@ def _cut(ids: np.ndarray, size: int = 48) -> list[np.ndarray]:
     return [ids[i : i + size] for i in range(0, len(ids), size)]
 
 
-def _basis(docs: DataFrame, items: list[np.ndarray], vocabulary: dict[bytes, int], df: np.ndarray, n_docs: int, sample: int, seed: int = 11) -> np.ndarray:
+def _basis(docs: DataFrame, items: list[np.ndarray], vocabulary: dict[bytes, int], df: np.ndarray, n_docs: int, seed: int = 11) -> np.ndarray:
     """A row for each word id: its idf-weighted, whitened latent direction."""
     idf = np.log((n_docs + 1) / (df + 0.5)).clip(0.0)
     idf[0] = 0.0
@@ -129,7 +129,9 @@ def _basis(docs: DataFrame, items: list[np.ndarray], vocabulary: dict[bytes, int
     def total(rows):
         g, x, n = np.zeros((k, k)), np.zeros((width, k)), 0
         for a, b, c in rows:
-            g, x, n = g + a, x + b, n + c
+            g += a
+            x += b
+            n += c
         return g, x, n
 
     def row(g, x, n):
@@ -139,10 +141,8 @@ def _basis(docs: DataFrame, items: list[np.ndarray], vocabulary: dict[bytes, int
         words, (omega, idf) = Words(vocabulary), handle.value
 
         def sketches():
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                for i in range(0, len(texts), 64):
-                    yield _sketch([p for t in texts[i : i + 64] for p in _cut(words(t))], omega, idf)
+            for batch in (part for whole in batches for part in slices(whole, 256)):
+                yield _sketch([p for t in batch.column(0).to_pylist() for p in _cut(words(t))], omega, idf)
 
         g, x, n = total(sketches())
         if n:
@@ -156,12 +156,9 @@ def _basis(docs: DataFrame, items: list[np.ndarray], vocabulary: dict[bytes, int
         if n:
             yield row(g, x, n)
 
-    share = min(1.0, sample / max(1, n_docs))
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    # the sampled texts are few: about 500 a task, which makes one matrix; these are summed by tens until ten are left
-    texts = saved(docs.filter(place < share).dropDuplicates(["doc_id", "text"]).select("text"), "sample")
-    tasks = 1 + min(sample, n_docs) // 500
-    sums = saved(texts.repartition(tasks).mapInArrow(project, "g binary, x binary, n bigint"), "sketch")
+    # every document is read; a task makes one matrix, and these are summed by tens until ten are left
+    sums = saved(docs.select("text").mapInArrow(project, "g binary, x binary, n bigint"), "sketch")
+    tasks = sums.count()
     while tasks > 10:
         tasks = -(-tasks // 10)
         sums = saved(sums.repartition(tasks).mapInArrow(add, "g binary, x binary, n bigint"), "sketch")
@@ -179,32 +176,32 @@ def _basis(docs: DataFrame, items: list[np.ndarray], vocabulary: dict[bytes, int
     return out * np.float32(1 / max(1e-30, np.abs(out).max()))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, alike: float = ALIKE, loose: float = LOOSE, sample: int = SAMPLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, alike: float = ALIKE, loose: float = LOOSE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """A row for each document and benchmark item that it leaks: doc_id, item_id, share of the item that is common."""
     docs = docs.select("doc_id", "text")
-    found = [arrow_pass(docs, pairs, RESULT, rows=256) for pairs, _ in _searches(docs, benchmark, cosine, alike, loose, sample, block_chars)]
+    found = [arrow_pass(docs, pairs, RESULT, rows=256) for pairs, _ in _searches(docs, benchmark, cosine, alike, loose, block_chars)]
     return functools.reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], RESULT)
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, alike: float = ALIKE, loose: float = LOOSE, sample: int = SAMPLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, alike: float = ALIKE, loose: float = LOOSE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs that leak no benchmark item, with all their columns."""
-    for _, clean in _searches(docs, benchmark, cosine, alike, loose, sample, block_chars):
+    for _, clean in _searches(docs, benchmark, cosine, alike, loose, block_chars):
         docs = arrow_pass(docs, clean, docs.schema, rows=256)
     return docs
 
 
-def _searches(docs: DataFrame, benchmark: DataFrame, cosine: float, alike: float, loose: float, sample: int, block_chars: int) -> list:
+def _searches(docs: DataFrame, benchmark: DataFrame, cosine: float, alike: float, loose: float, block_chars: int) -> list:
     """For each block of the benchmark, what gives the leaking pairs of a batch, and what gives its clean rows."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
     benchmark = benchmark.select("item_id", "text", answer.alias("answer")).filter(F.col("text").isNotNull())
     chars = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + chars // block_chars
     n_docs = docs.count()
-    found = [_search(docs.select("doc_id", "text"), benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), n_docs, cosine, alike, loose, sample) for b in range(blocks)]
+    found = [_search(docs.select("doc_id", "text"), benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b), n_docs, cosine, alike, loose) for b in range(blocks)]
     return [f for f in found if f]
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, n_docs: int, cosine: float, alike: float, loose: float, sample: int):
+def _search(docs: DataFrame, benchmark: DataFrame, n_docs: int, cosine: float, alike: float, loose: float):
     rows = [(r["item_id"], bare_words(r["text"]), bare_words(r["answer"])) for r in benchmark.collect()]  # of bounded length
     rows = [r for r in rows if r[1]]
     if not rows:
@@ -213,7 +210,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, n_docs: int, cosine: float, a
     ids = [np.array([vocabulary[w] for w in words], np.int32) for _, words, _ in rows]
     df = _frequencies(docs, vocabulary)
     rare = df < 0.1 * n_docs
-    basis = _basis(docs, ids, vocabulary, df, n_docs, sample)
+    basis = _basis(docs, ids, vocabulary, df, n_docs)
     items, passages, owners, offsets = [], {s: [] for s in SCALES}, {s: [] for s in SCALES}, {s: [] for s in SCALES}
     for k, (item_id, _, more) in enumerate(rows):
         own = ids[k].tolist()

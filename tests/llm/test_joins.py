@@ -251,3 +251,24 @@ def test_the_join_needs_no_package_on_executors(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONDONTWRITEBYTECODE": "1"}
     got = subprocess.run([sys.executable, "-c", code, str(pathlib.Path(jaccard.__file__).parents[2])], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert got.stdout.strip() == "[(1, 3, 1), (2, 3, 1), (3, 1, 3)]", got.stderr[-2000:]
+
+
+def test_the_latent_basis_reads_every_document(spark, monkeypatch):
+    from aclweave.llm import decontaminate
+
+    docs = spark.createDataFrame([(i, f"w{i} x{i % 7} y{i % 5} z") for i in range(20_300)], "doc_id bigint, text string")
+    seen, eigh = [], np.linalg.eigh
+    words = {b"z": 1, b"w1": 2}
+    df = np.ones(len(words) + 1 + decontaminate.CELLS)
+    df[1:] = 20_000
+    df[2] = 1
+    monkeypatch.setattr(decontaminate.np.linalg, "eigh", lambda g: (seen.append(g.copy()), eigh(g))[1])
+    ids = [np.array([2, 1], np.int32)]
+    decontaminate._basis(docs, ids, words, df, 20_300)
+    idf = np.log(20_301 / (df + 0.5)).clip(0.0)
+    idf[0] = 0.0
+    omega = np.random.default_rng(11).standard_normal((len(idf), decontaminate.RANK + 1 + decontaminate.EXTRA)) * idf[:, None]
+    of = decontaminate.Words(words)
+    y = np.array([omega[of(f"w{i} x{i % 7} y{i % 5} z")].sum(axis=0) for i in range(20_300)])
+    own = omega[ids[0]].sum(axis=0)
+    assert np.allclose(seen[0], y.T @ y + 20_300 * np.outer(own, own), rtol=1e-3, atol=1e-3 * np.abs(y.T @ y).max())
