@@ -51,6 +51,7 @@ class Evaluator:
         self.answers: tuple[dict[Node, DataFrame], dict[Node, DataFrame]] = ({}, {})
         self.demand: dict[Node, DataFrame] | None = None
         self._conditional: dict[Node, bool] = {}
+        self._everyone: dict[Node, bool] = {}
         self._named: set[Node] | None = None
 
     # leaves
@@ -77,6 +78,14 @@ class Evaluator:
             self._named = {(r[0], r[1]) for r in functools.reduce(DataFrame.unionByName, own).filter(F.concat_ws("#", "object_type", "relation").isin(known)).distinct().collect()}
         return (type_, relation) in self._named
 
+    def everyone(self, type_: str, relation: str) -> bool:
+        """Whether a stored tuple of a relation may name everyone."""
+        if not isinstance(self.tuples, Relations):
+            return True
+        if (type_, relation) not in self._everyone:
+            self._everyone[type_, relation] = not self.tuples.rows(type_, relation).filter((F.col("user_id") == "*") & F.col("user_relation").isNull()).isEmpty()
+        return self._everyone[type_, relation]
+
     def mixed(self, groups: list[list[Node]]) -> set[Node]:
         """The relations whose lower and upper answers may differ: a tuple that they read, or one below, has a condition."""
         out: set[Node] = set()
@@ -142,7 +151,8 @@ class Evaluator:
             elif self.demand is not None:
                 wanted = self.demand[node].join(users, "seed_id")
                 found.append(rows.join(wanted.withColumnRenamed("object_id", "_o"), (rows["object_id"] == F.col("_o")) & (rows["user_type"] == F.col("_t")) & (rows["user_id"] == F.col("_u")) & rows["user_relation"].eqNullSafe(F.col("_r"))).select(*keep))
-                found.append(wild.join(wanted.withColumnRenamed("object_id", "_o"), (wild["object_id"] == F.col("_o")) & (wild["user_type"] == F.col("_t"))).filter(F.col("_r").isNull()).select(*keep))
+                if self.everyone(*node):
+                    found.append(wild.join(wanted.withColumnRenamed("object_id", "_o"), (wild["object_id"] == F.col("_o")) & (wild["user_type"] == F.col("_t"))).filter(F.col("_r").isNull()).select(*keep))
             else:
                 found.append(rows.join(users, exact(rows)).select(*keep))
                 found.append(wild.join(users, everyone(wild)).filter(F.col("_r").isNull()).select(*keep))
@@ -269,8 +279,8 @@ class Evaluator:
                     known = self.grown(known, fresh, n_rounds)
                 own = known
             for n in group:
-                # asked for by several others and read more than once: kept, but for the requested pairs, which are kept already
-                asked_for = own[n] is not None and n not in known and (n not in requested or len(wanted[n]) > 1)
+                # read more than once, by what is below and by the answers: distinct pairs are kept
+                asked_for = own[n] is not None and n not in known
                 self.demand[n] = self.none() if own[n] is None else stored(own[n]) if asked_for else own[n]
                 targets = {m for m, _ in uses(self.model, n)} - set(group)
                 for m, pairs in self.below(n, self.demand[n], targets) if targets else ():

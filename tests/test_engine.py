@@ -222,3 +222,11 @@ def test_users_of_equal_tuples_are_evaluated_once(spark, monkeypatch):
     got = [tuple(r) for r in list_objects(model, rows, q, "viewer", "doc", contextual=own).collect()]
     want |= {(42, d) for d in ("0", "2", "4")}
     assert (len(got), set(got)) == (len(want), want)
+
+
+def test_a_batchs_requests_are_computed_once(spark, stored):
+    seen = spark.sparkContext.accumulator(0)
+    touched = F.udf(lambda x: (seen.add(1), x)[1], "string").asNondeterministic()
+    q = spark.createDataFrame([(0, "user:a", "blocked", "doc:2"), (1, "user:b", "blocked", "doc:2")], "request_id int, user string, relation string, object string")
+    got = {r.request_id: r.allowed for r in batch_check(WORK, stored, q.withColumn("user", touched("user"))).collect()}
+    assert (got, seen.value) == ({0: True, 1: False}, 2)
