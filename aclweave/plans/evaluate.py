@@ -279,8 +279,9 @@ class Evaluator:
                     known = self.grown(known, fresh, n_rounds)
                 own = known
             for n in group:
-                # read more than once, by what is below and by the answers: distinct pairs are kept
-                asked_for = own[n] is not None and n not in known
+                # read more than once, by what is below and by the answers: distinct pairs are kept, but for requested pairs of
+                # seeds with contextual tuples, which are about as many as the requests and are kept with these
+                asked_for = own[n] is not None and n not in known and (self.contextual is None or n not in requested or len(wanted[n]) > 1)
                 self.demand[n] = self.none() if own[n] is None else stored(own[n]) if asked_for else own[n]
                 targets = {m for m, _ in uses(self.model, n)} - set(group)
                 for m, pairs in self.below(n, self.demand[n], targets) if targets else ():
