@@ -22,40 +22,68 @@ from __future__ import annotations
 
 import functools
 import string
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import arrow_pass, saved, slices, table
 
-RANK, EXTRA, CELLS, BLOCK_CHARS = 64, 8, 2048, 4_000_000
+RANK, EXTRA, CELLS, PASSAGE, BLOCK_CHARS = 64, 8, 2048, 48, 4_000_000
 COSINE, ALIKE, LOOSE, RARER = 0.5, 0.75, 0.6, 0.4
-STEP, SCALES, LONGEST = 8, (3, 4, 6, 8), 56
+STEP, SCALES, LONGEST, SLOTS = 8, (3, 4, 6, 8), 56, 1 << 22
 RESULT = "doc_id bigint, item_id bigint, common double, answer double"
-_PUNCTUATION = string.punctuation.encode()
+_PUNCTUATION, _LOWER = string.punctuation.encode(), bytes(range(256)).lower()
+_FACTORS = np.random.default_rng(3).integers(0, 1 << 64, 5, np.uint64) | np.uint64(1)
+
+
+def _bare(text: str | None) -> bytes:
+    return text.encode("utf-8", "replace").translate(_LOWER, _PUNCTUATION) if text else b""
 
 
 def bare_words(text: str | None) -> list[bytes]:
     """Words in lower case, without punctuation."""
-    return text.encode("utf-8", "replace").lower().translate(None, _PUNCTUATION).split() if text else []
+    return _bare(text).split()
 
 
 class Words:
-    """Texts as word ids: 1.. for the benchmark's words, then cells for all others."""
+    """Texts as word ids: 1.. for the benchmark's words, then cells for all others; 0 is no word."""
 
     def __init__(self, vocabulary: dict[bytes, int]):
-        self.vocabulary, self.size = vocabulary, len(vocabulary) + 1 + CELLS
+        self.known = pa.array(list(vocabulary), pa.binary())
+        self.ids = np.fromiter(vocabulary.values(), np.int32, len(vocabulary))
+        self.size = len(vocabulary) + 1 + CELLS
 
     def __call__(self, text: str | None) -> np.ndarray:
-        get, first, crc = self.vocabulary.get, len(self.vocabulary) + 1, zlib.crc32
-        return np.array([get(w) or first + crc(w) % CELLS for w in bare_words(text)], np.int32)
-
-    def distinct(self, text: str | None) -> np.ndarray:
-        get, first, crc = self.vocabulary.get, len(self.vocabulary) + 1, zlib.crc32
-        return np.array(list({get(w) or first + crc(w) % CELLS for w in set(bare_words(text))}), np.int32)
+        return self.all([text])[0]
+
+    def all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The word ids of all texts, one after the other, and how many each text has."""
+        lists = pc.ascii_split_whitespace(pa.array([_bare(t) for t in texts], pa.binary()).view(pa.string()))
+        words, edges = lists.values.view(pa.binary()), lists.offsets.to_numpy()
+        at = pc.index_in(words, value_set=self.known)
+        out = np.zeros(len(words), np.int32)
+        here = at.is_valid().to_numpy(zero_copy_only=False)
+        out[here] = self.ids[at.drop_null().to_numpy()]
+        bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        sizes = np.diff(bounds)
+        real = sizes > 0  # the split has an empty word before leading and after trailing blanks
+        others = np.flatnonzero(real & ~here)
+        if len(others):
+            out[others] = self.size - CELLS + self._cells(np.frombuffer(words.buffers()[2], np.uint8), bounds[others], sizes[others])
+        return out[real], np.diff(np.concatenate(([0], np.cumsum(real)))[edges])
+
+    @staticmethod
+    def _cells(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """A hash of each word's length, first and last eight bytes."""
+        data = np.concatenate((np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)))
+        eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+        beyond = (8 * (8 - np.minimum(sizes, 8))).astype(np.uint64)  # bits of the neighbours
+        hashed = (eight[starts + 8] << beyond) * _FACTORS[0] ^ (eight[starts + sizes] >> beyond) * _FACTORS[1] ^ sizes.astype(np.uint64) * _FACTORS[2]
+        hashed = (hashed ^ hashed >> np.uint64(32)) * _FACTORS[3]
+        return ((hashed >> np.uint64(33)) % np.uint64(CELLS)).astype(np.int32)
 
 
 def lcs(masks: dict[int, int], n: int, region: list[int]) -> int:
@@ -77,6 +105,11 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
+def _slots(words: np.ndarray, items: np.ndarray | int) -> np.ndarray:
+    """A hash below ``SLOTS`` of each word and item."""
+    return (np.asarray(words, np.uint64) * _FACTORS[3] + np.asarray(items, np.uint64) * _FACTORS[4]) >> np.uint64(64 - SLOTS.bit_length() + 1)
+
+
 def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     schema = pa.schema([("id", pa.int32()), ("n", pa.int64())])
 
@@ -84,8 +117,10 @@ def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
         words = Words(vocabulary)
         counts = np.zeros(words.size, np.int64)
         for batch in (part for whole in batches for part in slices(whole, 512)):
-            each = [words.distinct(text) for text in batch.column(0).to_pylist()]
-            counts += np.bincount(np.concatenate(each), minlength=words.size)
+            ids, sizes = words.all(batch.column(0).to_pylist())
+            pairs = np.repeat(np.arange(len(sizes)), sizes) * words.size + ids
+            pairs.sort()
+            counts += np.bincount(pairs[np.diff(pairs, prepend=-1) > 0] % words.size, minlength=words.size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], schema=schema)
 
@@ -95,25 +130,53 @@ def _frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def _sketch(parts: list[np.ndarray], omega: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Y'Y, Y'X and the number of rows, of passages given as word ids."""
-    k = omega.shape[1]
-    parts = [p for p in parts if len(p)]
-    if not parts:
-        return np.zeros((k, k)), np.zeros((len(idf), k)), 0
-    ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
-    starts = np.cumsum(sizes) - sizes
-    y = np.add.reduceat(omega[ids], starts, axis=0)
-    order = np.argsort(ids, kind="stable")
-    own = np.repeat(np.arange(len(sizes)), sizes)[order]
-    unique, first = np.unique(ids[order], return_index=True)
-    x = np.zeros((len(idf), k))
-    x[unique] = np.add.reduceat(y[own], first, axis=0) * idf[unique, None]
-    return (y.T @ y).astype(np.float64), x, len(sizes)
+def _added(rows: np.ndarray, grid: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Adds to each row of out the rows that its line of the grid names."""
+    columns, room = np.ascontiguousarray(grid.T), np.empty((2048, rows.shape[1]), rows.dtype)
+    for i in range(0, len(out), len(room)):
+        to = out[i : i + len(room)]
+        for column in columns:
+            to += np.take(rows, column[i : i + len(room)], axis=0, out=room[: len(to)], mode="clip")
+    return out
 
 
-def _cut(ids: np.ndarray, size: int = 48) -> list[np.ndarray]:
-    return [ids[i : i + size] for i in range(0, len(ids), size)]
+def _sums(rows: np.ndarray, at: np.ndarray, sizes: np.ndarray, width: int) -> np.ndarray:
+    """Sums of rows[at] over groups of the given sizes (1 at least), below a first row of zeros; rows[0] is zero too.
+
+    Groups are summed ``width`` at a time, and these sums again, until one is left of each.
+    """
+    while True:
+        parts = -(-sizes // width)
+        grid = np.zeros(int(parts.sum()) * width, np.int64)
+        grid[np.arange(len(at)) + np.repeat((np.cumsum(parts) - parts) * width - (np.cumsum(sizes) - sizes), sizes)] = at
+        grid = grid.reshape(-1, width)
+        out = np.zeros((len(grid) + 1, rows.shape[1]), rows.dtype)
+        _added(rows, grid, out[1:])
+        if parts.max(initial=1) == 1:
+            return out
+        rows, at, sizes = out, np.arange(1, len(out)), parts
+
+
+def _sketch(ids: np.ndarray, sizes: np.ndarray, omega: np.ndarray, g: np.ndarray, x: np.ndarray) -> int:
+    """Adds Y'Y and Y'A of the texts' passages (A: how often each has each word, Y: A by omega) to g and x; gives how many these are."""
+    if not len(ids):
+        return 0
+    sizes = sizes[sizes > 0]
+    parts = -(-sizes // PASSAGE)
+    lengths = np.full(int(parts.sum()), PASSAGE)
+    lengths[np.cumsum(parts) - 1] = sizes - (parts - 1) * PASSAGE
+    ends = np.cumsum(lengths)
+    for i in range(0, len(lengths), 4096):  # a very long text has many passages
+        some = lengths[i : i + 4096]
+        part = ids[ends[i] - lengths[i] : ends[i + len(some) - 1]]
+        y = _sums(omega, part, some, PASSAGE)
+        g += y.T @ y
+        pairs = part.astype(np.int64) * len(y) + np.repeat(np.arange(1, len(y)), some)
+        pairs.sort()
+        word, own = np.divmod(pairs, len(y))
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        x[word[first]] += _sums(y, own, np.diff(first, append=len(word)), 8)[1:]
+    return len(lengths)
 
 
 def _basis(docs: DataFrame, items: list[np.ndarray], vocabulary: dict[bytes, int], df: np.ndarray, n_docs: int, seed: int = 11) -> np.ndarray:
@@ -140,13 +203,11 @@ def _basis(docs: DataFrame, items: list[np.ndarray], vocabulary: dict[bytes, int
     def project(batches):
         words, (omega, idf) = Words(vocabulary), handle.value
 
-        def sketches():
-            for batch in (part for whole in batches for part in slices(whole, 256)):
-                yield _sketch([p for t in batch.column(0).to_pylist() for p in _cut(words(t))], omega, idf)
-
-        g, x, n = total(sketches())
+        g, x, n = np.zeros((k, k)), np.zeros((width, k)), 0
+        for batch in (part for whole in batches for part in slices(whole, 256)):
+            n += _sketch(*words.all(batch.column(0).to_pylist()), omega, g, x)
         if n:
-            yield row(g, x, n)
+            yield row(g, x * idf[:, None], n)
 
     def parse(r):
         return np.frombuffer(r[0], "<f4").reshape(k, k), np.frombuffer(r[1], "<f4").reshape(width, k), r[2]
@@ -163,9 +224,10 @@ def _basis(docs: DataFrame, items: list[np.ndarray], vocabulary: dict[bytes, int
         tasks = -(-tasks // 10)
         sums = saved(sums.repartition(tasks).mapInArrow(add, "g binary, x binary, n bigint"), "sketch")
     g, x, n = total(parse(r) for r in sums.toLocalIterator())
-    own_g, own_x, own_n = _sketch([p for i in items for p in _cut(i)], omega, idf)
+    own_g, own_x = np.zeros((k, k)), np.zeros((width, k))
+    own_n = _sketch(np.concatenate(items), np.array([len(i) for i in items]), omega, own_g, own_x)
     weight = max(1.0, n / max(1, own_n))
-    g, x = g + weight * own_g, x + weight * own_x
+    g, x = g + weight * own_g, x + weight * own_x * idf[:, None]
     values, vectors = np.linalg.eigh(g)
     good = values > values[-1] * 1e-7
     b = (vectors[:, good] / np.sqrt(values[good])).T @ x.T
@@ -229,64 +291,81 @@ def _search(docs: DataFrame, benchmark: DataFrame, n_docs: int, cosine: float, a
             passages[scale].append(v / max(1e-12, np.linalg.norm(v)))
             owners[scale].append(k)
             offsets[scale].append(at)
-    scales = [(s, np.array(passages[s], np.float32).T, owners[s], offsets[s]) for s in SCALES if passages[s]]
+    scales = [(s, np.array(passages[s], np.float32).T, np.array(owners[s]), np.array(offsets[s])) for s in SCALES if passages[s]]
     handle = docs.sparkSession.sparkContext.broadcast((basis, items, scales))
 
     def make():
         words, (basis, items, scales) = Words(vocabulary), handle.value
 
-        def leaks(ids: np.ndarray, hits: list[tuple[int, int]]) -> dict[int, tuple[float, float]]:
-            out: dict[int, tuple[float, float]] = {}
-            tried = set()
-            for k, at in hits:
-                _, n, masks, n_end, end, n_few, few, weights = items[k]
-                start = max(0, at - 2 * STEP)
-                if (k, start // (2 * STEP)) in tried or (k in out and out[k][0] == 1.0):
-                    continue
-                tried.add((k, start // (2 * STEP)))
-                region = ids[start : at + n + 4 * STEP].tolist()
-                if sum(map(masks.__contains__, region)) < loose * n:
-                    continue
-                common = lcs(masks, n, region) / n
-                if common < min(alike, loose):
-                    continue
-                kept = lcs(end, n_end, region) / n_end
-                if common >= alike or (common >= loose and kept == 1.0 and (lcs(few, n_few, region) >= RARER * n_few if n_few else sum(map(weights.get, weights.keys() & set(region))) >= loose)):
-                    out[k] = max(out.get(k, (0.0, 0.0)), (common, kept))
-            return out
-
-        def search(batch: list[np.ndarray]) -> list[list[tuple[int, int]]]:
-            pad = STEP * max(SCALES)
-            sizes = [-(-len(i) // STEP) * STEP + pad for i in batch]
-            flat, firsts, at = np.zeros(sum(sizes), np.int32), [], 0
-            for i, n in zip(batch, sizes, strict=True):
-                flat[at : at + len(i)] = i
-                firsts.append(at // STEP)
-                at += n
-            blocks = basis[flat].reshape(-1, STEP, basis.shape[1]).sum(axis=1)
-            sums = np.concatenate((np.zeros((1, basis.shape[1]), np.float64), np.cumsum(blocks, axis=0, dtype=np.float64)))
-            hits: list[list[tuple[int, int]]] = [[] for _ in batch]
-            edges = np.array(firsts[1:] + [len(blocks)])
+        def leaks(region: list[int], k: int, out: dict[int, tuple[float, float]]) -> None:
+            _, n, masks, n_end, end, n_few, few, weights = items[k]
+            if (k in out and out[k][0] == 1.0) or sum(map(masks.__contains__, region)) < loose * n:
+                return
+            common = lcs(masks, n, region) / n
+            if common < min(alike, loose):
+                return
+            kept = lcs(end, n_end, region) / n_end
+            if common >= alike or (common >= loose and kept == 1.0 and (lcs(few, n_few, region) >= RARER * n_few if n_few else sum(map(weights.get, weights.keys() & set(region))) >= loose)):
+                out[k] = max(out.get(k, (0.0, 0.0)), (common, kept))
+
+        lengths = np.array([item[1] for item in items])
+        own = np.concatenate([_slots(np.fromiter(item[2], np.int64), k) for k, item in enumerate(items)])
+        marked = np.zeros(SLOTS, bool)
+        marked[own] = True
+
+        def regions(ids: np.ndarray, sizes: np.ndarray, hits: tuple[np.ndarray, np.ndarray, np.ndarray]):
+            """Text, item, start and end of the hits' regions that can have enough of the item's words; equal ones once."""
+            d, k, at = hits
+            texts = np.cumsum(sizes) - sizes
+            start = np.maximum(0, at - 2 * STEP)
+            _, first = np.unique((d * len(items) + k) * (int(start.max(initial=0)) // (2 * STEP) + 1) + start // (2 * STEP), return_index=True)
+            first.sort()
+            d, k, at, start = (v[first] for v in (d, k, at, start))
+            begins, reach = texts[d] + start, np.clip(np.minimum(at + lengths[k] + 4 * STEP, sizes[d]) - start, 0, None)
+            ends, i = np.cumsum(reach), 0
+            while i < len(ends):  # about a million words at once, or one longer region
+                some = slice(i, max(i + 1, int(np.searchsorted(ends, ends[i] - reach[i] + (1 << 20), "right"))))
+                i, begin, size = some.stop, begins[some], reach[some]
+                edges = np.cumsum(size) - size
+                words = ids[np.arange(size.sum()) + np.repeat(begin - edges, size)]
+                there = np.concatenate(([0], np.cumsum(marked[_slots(words, np.repeat(k[some], size))])))  # at least as many as are there
+                enough = there[edges + size] - there[edges] >= loose * lengths[k[some]]
+                yield from zip(*(v[enough].tolist() for v in (d[some], k[some], begin, begin + size)), strict=True)
+
+        def search(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Text, item and place of the item's start, of each window and passage that are alike."""
+            blocks = -(-sizes // STEP) + max(SCALES)  # the last windows reach beyond the text
+            firsts = np.cumsum(blocks) - blocks
+            flat = np.zeros(int(blocks.sum()) * STEP, np.int64)
+            flat[np.arange(len(ids)) + np.repeat(firsts * STEP - (np.cumsum(sizes) - sizes), sizes)] = ids
+            sums = _added(basis, flat.reshape(-1, STEP), np.zeros((len(flat) // STEP, basis.shape[1]), basis.dtype))
+            hits, w, size = [], sums, 1
             for scale, matrix, owners, offsets in scales:
-                w = (sums[scale:] - sums[:-scale]).astype(np.float32)
-                w /= np.maximum(np.linalg.norm(w, axis=1), 1e-12)[:, None]
-                where, which = np.nonzero(w @ matrix >= cosine)
-                for d, b, p in zip(np.searchsorted(edges, where, "right").tolist(), where.tolist(), which.tolist(), strict=True):
-                    hits[d].append((owners[p], (b - firsts[d]) * STEP - offsets[p]))
-            return hits
+                for j in range(size, scale):
+                    w = w[:-1] + sums[j:]
+                size = scale
+                rows = max(1, (1 << 23) // len(owners))
+                for i in range(0, len(w), rows):
+                    part = w[i : i + rows]
+                    norms = np.sqrt(np.einsum("ij,ij->i", part, part))
+                    where, which = np.divmod(np.flatnonzero(part @ matrix >= cosine * np.maximum(norms, 1e-12)[:, None]), len(owners))
+                    where += i
+                    d = np.searchsorted(firsts, where, "right") - 1
+                    hits.append((d, owners[which], (where - firsts[d]) * STEP - offsets[which]))
+            return tuple(np.concatenate(x) for x in zip(*hits, strict=True))
 
         def found(texts: list[str | None]) -> list[dict[int, tuple[float, float]]]:
             out: list[dict] = [{} for _ in texts]
-            batch, words_in = [], 0
-            for i, text in enumerate(texts):
-                ids = words(text)
-                if len(ids):
-                    batch.append((i, ids))
-                    words_in += len(ids)
-                if batch and (words_in > 1 << 15 or i == len(texts) - 1):
-                    for (k, own), hits in zip(batch, search([x for _, x in batch]), strict=True):
-                        out[k] = leaks(own, hits)
-                    batch, words_in = [], 0
+            ids, sizes = words.all(texts)
+            ends = np.cumsum(sizes)
+            i = 0
+            while i < len(texts):  # about 32,000 words at once, or one longer text
+                start = ends[i] - sizes[i]
+                j = max(i + 1, int(np.searchsorted(ends, start + (1 << 15), "right")))
+                part = ids[start : ends[j - 1]]
+                for d, k, a, b in regions(part, sizes[i:j], search(part, sizes[i:j])):
+                    leaks(part[a:b].tolist(), k, out[i + d])
+                i = j
             return out
 
         return found, items

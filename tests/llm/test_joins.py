@@ -1,3 +1,4 @@
+import cProfile
 import os
 import pathlib
 import random
@@ -272,3 +273,78 @@ def test_the_latent_basis_reads_every_document(spark, monkeypatch):
     y = np.array([omega[of(f"w{i} x{i % 7} y{i % 5} z")].sum(axis=0) for i in range(20_300)])
     own = omega[ids[0]].sum(axis=0)
     assert np.allclose(seen[0], y.T @ y + 20_300 * np.outer(own, own), rtol=1e-3, atol=1e-3 * np.abs(y.T @ y).max())
+
+
+def test_word_ids_of_many_texts():
+    texts = [None, "", "  a  B\t\n", " !! ? a-b \x1c c\x0bd\x0ce", "x" * 10_000, " . , a", "Ünï ß straße 日本語   y", "\ud800 q", "same-word SAMEWORD other"]
+    known = {b"a": 1, b"ab": 2, "straße".encode(): 3, b"q": 4}
+    of = decontaminate.Words(known)
+    ids, sizes = of.all(texts)
+    bare = [w for t in texts for w in decontaminate.bare_words(t)]
+    assert sizes.tolist() == [len(decontaminate.bare_words(t)) for t in texts] and len(ids) == len(bare)
+    assert all(i == known[w] if w in known else len(known) < i < of.size for i, w in zip(ids.tolist(), bare, strict=True))
+    assert ids[-3] == ids[-2] and ids.tolist() == np.concatenate([of(t) for t in texts]).tolist()
+    assert [len(x) for x in of.all([None, "", "?"])] == [0, 3]
+
+
+def test_sketch_against_dense_matrices():
+    rng = np.random.default_rng(2)
+    sizes = np.array([0, 1, 47, 48, 49, 300, 0, 5000, 96])
+    ids = np.minimum(rng.zipf(1.3, sizes.sum()), 400).astype(np.int32)
+    omega = rng.standard_normal((401, 9)).astype(np.float32)
+    omega[0] = 0
+    g, x = np.zeros((9, 9)), np.zeros((401, 9))
+    n = decontaminate._sketch(ids, sizes, omega, g, x)
+    passages = [part for text in np.split(ids, np.cumsum(sizes)[:-1]) for part in np.split(text, range(48, len(text), 48)) if len(part)]
+    a = np.array([np.bincount(part, minlength=401) for part in passages])
+    y = a @ omega.astype(np.float64)
+    assert n == len(passages) and np.allclose(g, y.T @ y, rtol=1e-4, atol=1e-2) and np.allclose(x, a.T @ y, rtol=1e-4, atol=1e-1)
+
+
+def test_candidates_against_brute_force(spark):
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for w in a:
+            new = [0]
+            for j, u in enumerate(b):
+                new.append(row[j] + 1 if u == w else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(21)
+    vocabulary = [words(rng, 1) for _ in range(60)]
+    items = [(i, words(rng, rng.choice([16, 20, 24, 40]), vocabulary).split()) for i in range(8)]
+    docs, want = [], {}
+    for d in range(40):
+        text = words(rng, rng.randint(0, 150), vocabulary).split()
+        own = [rng.choice(vocabulary) if rng.random() < 0.3 else w for w in items[d % 8][1]]
+        at = rng.randint(0, len(text))
+        text[at:at] = own
+        docs.append((d, " ".join(text)))
+        for k, item in items:
+            tried = set()
+            for start in range(0, len(text), 8):  # every window is a candidate
+                begin = max(0, start - 16)
+                if begin // 16 in tried or want.get((d, k), (0,))[0] == 1.0:
+                    continue
+                tried.add(begin // 16)
+                region = text[begin : start + len(item) + 32]
+                got = common(item, region) / len(item)
+                if got >= 0.6:
+                    want[d, k] = max(want.get((d, k), (0.0, 0.0)), (got, common(item[-(len(item) // 4) :], region) / (len(item) // 4)))
+    found = decontaminate.find_leaks(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id bigint, text string"), cosine=-1.1, alike=0.6, loose=0.6
+    )
+    assert len(want) > 30 and {(r.doc_id, r.item_id): (r.common, r.answer) for r in found.collect()} == want
+
+
+def test_search_makes_no_call_a_word(spark):
+    rng = random.Random(3)
+    vocabulary = [words(rng, 1) for _ in range(4000)]
+    items = [(i, words(rng, rng.choice([16, 24, 40, 56]), vocabulary)) for i in range(200)]
+    texts = [words(rng, 400, vocabulary) if i % 2 else words(rng, 400) for i in range(256)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ((pairs, _),) = decontaminate._searches(docs, spark.createDataFrame(items, "item_id bigint, text string"), 0.5, 0.75, 0.6, 4_000_000)
+    search, profile = pairs(), cProfile.Profile()
+    profile.runcall(search, {"doc_id": list(range(len(texts))), "text": texts})
+    assert sum(entry.callcount for entry in profile.getstats()) < 0.2 * 400 * len(texts)
