@@ -224,6 +224,31 @@ def test_users_of_equal_tuples_are_evaluated_once(spark, monkeypatch):
     assert (len(got), set(got)) == (len(want), want)
 
 
+def test_large_answers_are_dealt_by_few_cells_and_written_small(spark, monkeypatch, tmp_path):
+    from aclweave.operators import listing
+    from aclweave.plans.cut import stored as kept
+
+    of = kept(spark.range(3000).selectExpr("id AS request_id", "CAST(0 AS BIGINT) AS seed_id").unionByName(spark.createDataFrame([(None, 0), (7, 0), (7, 0), (9000, 1), (9001, 2)], "request_id bigint, seed_id bigint")))
+    found = kept(spark.range(2990).selectExpr("CAST(0 AS BIGINT) AS seed_id", "CAST(id AS STRING) AS object_id").unionByName(spark.createDataFrame([(0, None), (0, ""), (1, "a"), (3, "b")], "seed_id bigint, object_id string")))
+    out = listing._dealt(of, found)
+    out.write.parquet(str(tmp_path / "answer"))
+    got = spark.read.parquet(str(tmp_path / "answer"))
+    each = got.groupBy("request_id").agg(F.count("*").alias("n"), F.count_distinct(F.coalesce("object_id", F.lit("none"))).alias("d"), F.count("object_id").alias("named"))
+    want = {r: (2992, 2992, 2991) for r in [*range(3000), None]} | {7: (3 * 2992, 2992, 3 * 2991), 9000: (1, 1, 1)}
+    assert {r.request_id: (r.n, r.d, r.named) for r in each.collect()} == want
+    size = sum(f.stat().st_size for f in (tmp_path / "answer").glob("*.parquet"))
+    assert size < 0.4 * got.count()  # bytes a pair
+    monkeypatch.setattr(listing, "SIDE", 4)
+    monkeypatch.setattr(listing, "CELLS", 9, raising=False)
+    monkeypatch.setattr(listing, "RUN", 2, raising=False)
+    monkeypatch.setattr(listing, "DEALT", 0)
+    few, some = kept(of.filter("request_id % 50 = 7 OR request_id IS NULL")), kept(found.filter("object_id LIKE '%53' OR object_id IS NULL OR object_id = ''"))
+    out = listing._dealt(few, some)
+    assert out.rdd.getNumPartitions() <= 16  # of 4 by 4 pairs the cells would be about 130
+    want = few.join(some, "seed_id").select("request_id", "object_id")
+    assert (out.count(), out.exceptAll(want).count(), want.exceptAll(out).count()) == (want.count(), 0, 0)
+
+
 def test_a_batchs_requests_are_computed_once(spark, stored):
     seen = spark.sparkContext.accumulator(0)
     touched = F.udf(lambda x: (seen.add(1), x)[1], "string").asNondeterministic()
